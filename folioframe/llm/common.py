@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,3 +60,36 @@ def text_or_empty(column: str | Column) -> Column:
 def scan_partitions(spark: SparkSession) -> int:
     """Partitions for work that costs much per row: what the session deals shuffles to."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def append_columns(
+    df: DataFrame,
+    source: Column,
+    fields: StructType,
+    maker: Callable[[], Callable[[list], Iterable[list]]],
+) -> DataFrame:
+    """All columns of ``df`` (those named like a field are replaced) and ``fields``, made by Python.
+
+    ``maker`` is called once in each task and returns a function from the values of
+    ``source`` (one batch) to a list of values for each field.  Rows pass through in
+    Arrow batches, so a task holds one batch at a time; nothing is shuffled.
+    """
+    kept = df.drop(*fields.names)
+    value = free_name(kept, "__value")
+    shaped = StructType([*kept.schema.fields, *fields.fields])
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            work = work or maker()
+            place = batch.schema.get_field_index(value)
+            made = work(batch.column(place).to_pylist())
+            columns = [c for i, c in enumerate(batch.columns) if i != place]
+            names = [n for n in batch.schema.names if n != value]
+            columns += [pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *arrow.names])
+
+    return kept.withColumn(value, source).mapInArrow(run, shaped)
