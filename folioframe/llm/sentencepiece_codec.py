@@ -26,8 +26,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import append_columns
 
 MARK = "▁"
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Parts remembered by one Python worker; beyond it the memory is emptied, which changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 class PieceCodec:
@@ -37,13 +38,15 @@ class PieceCodec:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         size = model.vocab_size()
         self.end_id = model.eos_id()
-        self.pieces = [model.id_to_piece(i) for i in range(size)]
-        self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
+        pieces = [model.id_to_piece(i) for i in range(size)]
+        self.byte_ids = {int(pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.id_bytes = {i: b for b, i in self.byte_ids.items()}
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         ordered = sorted((i for i in range(size) if i not in special), key=lambda i: (-model.get_score(i), i))
-        self.rank = {self.pieces[i]: r for r, i in enumerate(ordered)}
-        self.id_of = {self.pieces[i]: i for i in ordered}
+        self.rank = {pieces[i]: r for r, i in enumerate(ordered)}
+        self.id_of = {pieces[i]: i for i in ordered}
+        self.surface = {i: p.replace(MARK, " ") for p, i in self.id_of.items()}
+        self.decimal = [str(i) for i in range(size)]
         self.runs = {len(p): p for p in self.rank if not p.strip(MARK)}
         self.alphabet = {p for p in self.rank if len(p) == 1}
         self.parts: dict[str, tuple[int, str, str]] = {}
@@ -54,10 +57,17 @@ class PieceCodec:
             if piece.strip(MARK) == "" and len(piece) > 1:
                 continue  # runs of marks merge last, from the left: see run_of_marks
             if len(piece) == 1 or self._learn_halves(piece):
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         self.shorter = {p: self._longest_prefix(p) for p in self.automaton}
-        self.divider = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        # No piece holds one of these behind another character, so nothing merges across the place before them.
+        inner = {c for p in self.rank for c in p[1:]}
+        stops = "\n" + "".join(c for c in map(chr, range(33, 127)) if c not in inner)
+        firm = re.escape(stops)
+        # Nor does any piece hold a letter and then one of these.
+        pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        tails = "".join(c for c in ".,;:!?|%&$#*" if not any(re.match(LETTER, a) and b == c for a, b in pairs))
+        self.divider = re.compile(f"{MARK}*{LETTER}+(?=[{re.escape(tails)}{firm}])|{MARK}*[^{MARK}{firm}]+|{MARK}+|[{firm}]")
 
     def merged(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
         """All merges in order of rank, leftmost first; and the two halves that merged last."""
@@ -112,20 +122,24 @@ class PieceCodec:
 
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all in the alphabet."""
-        longest: list[str | None] = [None] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):
-            start = end - len(piece) + 1
-            if longest[start] is None or len(longest[start]) < len(piece):
-                longest[start] = piece
-        open_places = (1 << (len(text) + 1)) - 1
+        size = len(text)
+        longest: list[str | None] = [None] * (size + 1)
+        for end, (less, piece) in self.automaton.iter(text):  # ends ascend, so the last from a place is the longest
+            longest[end - less] = piece
+        known, shorter = self.compatible.get, self.shorter
+        open_places = (1 << (size + 1)) - 1
         pieces: list[str] = []
         place, piece = 0, longest[0]
-        while place < len(text):
+        while place < size:
             while piece is not None:
                 end = place + len(piece)
-                if open_places >> end & 1 and (not pieces or self.fits(pieces[-1], piece)):
-                    break
-                piece = self.shorter[piece]
+                if open_places >> end & 1:
+                    if not pieces:
+                        break
+                    fits = known((pieces[-1], piece))
+                    if fits or (fits is None and self.fits(pieces[-1], piece)):
+                        break
+                piece = shorter[piece]
             if piece is not None:
                 pieces.append(piece)
                 place, piece = end, longest[end]
@@ -153,8 +167,10 @@ class PieceCodec:
         marks = len(part) - len(word)
         if not word:
             return self.run_of_marks(marks)
+        core = MARK + word if marks else word
+        if marks < 2 and self.alphabet.issuperset(core):
+            return self.backtrack(core)
         found: list[str | int] = []
-        core = MARK * (marks > 0) + word
         start = 0
         for i, c in enumerate(core):
             if c not in self.alphabet:
@@ -174,6 +190,9 @@ class PieceCodec:
         """Text of ids, marks as spaces; control ids vanish, bytes join into characters."""
         out: list[str] = []
         held = bytearray()
+        surface = self.surface
+        if all(i in surface for i in ids):
+            return "".join([surface[i] for i in ids])
         for i in ids:
             if i in self.id_bytes:
                 held.append(self.id_bytes[i])
@@ -181,18 +200,17 @@ class PieceCodec:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if self.pieces[i] in self.id_of:
-                out.append(self.pieces[i])
+            out.append(surface.get(i, ""))
         if held:
             out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
+        return "".join(out)
 
     def part(self, part: str) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal, and the decoded text of a part."""
         known = self.parts.get(part)
         if known is None:
-            ids = [p if isinstance(p, int) else self.id_of[p] for p in self.part_pieces(part)]
-            known = (len(ids), " ".join(map(str, ids)), self.decoded(ids))
+            ids = [self.id_of.get(p, p) for p in self.part_pieces(part)]
+            known = (len(ids), " ".join([self.decimal[i] for i in ids]), self.decoded(ids))
             if len(part) <= 64:
                 if len(self.parts) >= REMEMBERED:
                     self.parts.clear()
