@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, sentencepiece_codec, simhash
+from . import exact_dedup, mixing, secrets, sentencepiece_codec, simhash
 from .common import table, text_or_empty
 
 
@@ -19,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def piece_model() -> str:
     """Where the public tokenizer's model is; a parameter of the operator."""
     import public_tokenizers
@@ -58,6 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_mixing": op3_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
