@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, sentencepiece_codec, simhash
+from . import exact_dedup, mixing, secrets, sentencepiece_codec, simhash, toxicity, url_filter
 from .common import table, text_or_empty
 
 
@@ -24,6 +24,34 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+#: The rules that every page is judged by.
+URL_RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).drop("url")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 def piece_model() -> str:
     """Where the public tokenizer's model is; a parameter of the operator."""
     import public_tokenizers
@@ -64,6 +92,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
@@ -78,4 +108,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
     """,
+    "op4_url_filter": r"""
+        WITH rules(rhost, rpath, verdict) AS (VALUES
+                 ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                 ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+             parts AS (
+                 SELECT page_id,
+                        translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                        regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+                 FROM pages),
+             fits AS (
+                 SELECT page_id, host, path, rhost || rpath AS rule, verdict,
+                        row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS place
+                 FROM parts LEFT JOIN rules
+                   ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+    """,
 }
