@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, sentencepiece_codec, simhash, topk_search, toxicity, url_filter
+from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece_codec, simhash, topk_search, toxicity, url_filter
 from .common import table, text_or_empty
 
 
@@ -71,6 +71,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(docs, piece_model()).drop("text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that go."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of its links."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
