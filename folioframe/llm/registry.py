@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece_codec, simhash, topk_search, toxicity, url_filter
+from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, topk_search, toxicity, url_filter
 from .common import table, text_or_empty
 
 
@@ -58,6 +58,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that stand elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).drop("spans")
+
+
 def piece_model() -> str:
     """Where the public tokenizer's model is; a parameter of the operator."""
     import public_tokenizers
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
