@@ -1,13 +1,65 @@
-"""From raw documents to token ids: five stages over the training-data operators."""
+"""From raw documents to token ids: five stages over the training-data operators.
+
+Every stage takes what its predecessor kept, and its decisions take effect: rows that a
+stage rejects are gone for the next.  All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm import exact_dedup, mixing, sentencepiece_codec, simhash, toxicity
+from folioframe.llm.common import table, written
+from folioframe.llm.registry import piece_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the cut of their language; the classifier learns from ``labels``."""
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, name="__score")
+    return scored.where(~toxicity.rejected(model, F.col("lang"), F.col("__score"))).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id."""
+    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each pass that takes words of a document, with those words as its text."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of the mix as token ids, told by number and digests."""
+    return sentencepiece_codec.token_digests(docs.select("doc_id", "text"), piece_model()).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: Scores, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over ``documents``."""
-    raise NotImplementedError
+    """The stages, one after the other, over ``documents``; each is written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
