@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, text_or_empty, written
+from .common import WORD_PATTERN, free_name, scan_partitions, text_or_empty, written
 
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 12
@@ -131,7 +131,8 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int) -> DataFra
     ahead = F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = sources.select("*", ahead.alias("ahead"), F.sum("slots").over(Window.partitionBy()).alias("all_slots")).where("slots > 0")
     chunks = laid.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))))
-    chunks = chunks.repartition("source", "chunk")  # a large source's slots are made by many tasks
+    # A large source's slots are made by many tasks; their number is given, as the rows before this are few.
+    chunks = chunks.repartition(scan_partitions(targets.sparkSession), "source", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1
     each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, last)))
     turn, place = F.floor(F.col("k") / F.col("in_pass")), F.col("k") % F.col("in_pass")
@@ -171,8 +172,9 @@ def mixed_pieces(
         "id", "digest", "source", "start", "size", F.explode(F.sequence(first, last)).alias("block")
     )
     key = F.xxhash64("source", "block")  # null is a source of its own; the columns themselves are compared too
+    # Slots grow with the corpus, whatever Spark makes of the few rows that they come from: never broadcast.
     joined = parts.withColumn("key", key).join(
-        slots.withColumn("key", key).withColumnsRenamed({"source": "of", "block": "at"}), "key"
+        slots.hint("merge").withColumn("key", key).withColumnsRenamed({"source": "of", "block": "at"}), "key"
     ).where(F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("take"))
