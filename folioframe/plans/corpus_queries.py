@@ -247,7 +247,7 @@ def joined(text: str, order: str) -> str:
 
 UPLOADED = "uploaded AS (SELECT chunk_id + 1000000000 AS chunk_id, source, page, 'new ' || text AS text FROM chunks WHERE source IN ('src3', 'src7'))"
 APPENDED = """SELECT u.chunk_id, (SELECT max(chunk_seq) FROM base) + coalesce((SELECT sum(n) FROM (SELECT source, min(chunk_id) AS f, count(*) AS n FROM uploaded GROUP BY source) b
-        WHERE b.f < (SELECT min(chunk_id) FROM uploaded x WHERE x.source = u.source)), 0) + row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS chunk_seq, source FROM uploaded u"""
+        WHERE b.f < (SELECT min(chunk_id) FROM uploaded x WHERE x.source = u.source)), 0)::BIGINT + row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS chunk_seq, source FROM uploaded u"""
 
 ORACLE_SQL = {
     "degenerate_pages": f"WITH {PAGES}, every AS (SELECT source, page, text FROM pages_ UNION ALL SELECT * FROM (VALUES {DEGENERATE})), {judged('every')} SELECT * FROM bad",
