@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
-from ..functions.vectors import inner_product, l2_normalised
+from ..functions.vectors import norm
 
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -69,32 +75,51 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, most: int = POOL) -> DataFr
     return ranked(bm25_scores(chunks, queries).where("score > 0"), most, "chunk_id")
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
-    """(query_id, *key, score): every query (query_id, query_vector) against all rows (key, vector), in blocks of queries."""
-    rows = vectors.select(*key, l2_normalised(F.col("vector")).alias("vector")).where("vector IS NOT NULL")
-    asked = queries.select("query_id", l2_normalised(F.col("query_vector")).alias("query_vector")).where("query_vector IS NOT NULL")
+def vector_scores(vectors: DataFrame, queries: DataFrame, key: list[str], most: int) -> DataFrame:
+    """(query_id, *key, score) of every query (query_id, query_vector) against all rows (key, vector).
+
+    Queries go to the tasks in blocks of a fixed number, as one matrix; a batch of rows is scored by
+    one product and returns no more than what may be among the ``most`` best.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where(norm(F.col("vector")) > 0).select(*key, "vector")
+    asked = queries.where(norm(F.col("query_vector")) > 0).select("query_id", "query_vector")
+    query_type = asked.schema["query_id"].dataType.simpleString()
+    schema = ", ".join([f"query_id {query_type}", *[f"{k} {rows.schema[k].dataType.simpleString()}" for k in key], "score double"])
+
+    def unit(values) -> np.ndarray:
+        found = np.stack([np.asarray(v, np.float64) for v in values])
+        return found / np.sqrt((found**2).sum(axis=1, keepdims=True))
+
+    def scored(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), unit([r["query_vector"] for r in block])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = sent.value
+            for batch in batches:
+                if len(batch):
+                    scores = matrix @ unit(batch["vector"]).T
+                    rank = max(0, scores.shape[1] - most)
+                    least = np.partition(scores, rank, axis=1)[:, rank] - 2 * 10.0**-PLACES  # ties are settled later
+                    query, row = np.nonzero(scores >= least[:, None])
+                    yield pd.DataFrame({"query_id": ids[query], **{k: batch[k].to_numpy()[row] for k in key}, "score": scores[query, row]})
 
-    def scored(block: DataFrame) -> DataFrame:
-        return rows.crossJoin(F.broadcast(block)).select("query_id", *key, inner_product(F.col("vector"), F.col("query_vector")).alias("score"))
+        return rows.mapInPandas(run, schema)
 
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        return scored(asked)
-    out = None
-    for i in range(blocks):  # the rounds partition the queries; every query meets every row once
-        own = scored(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-        out = own if out is None else out.unionAll(own)
-    return out
+    parts, source = [], asked.toLocalIterator()
+    while block := list(islice(source, QUERY_BLOCK)):
+        parts.append(scored(block))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, most: int = POOL) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by inner product of unit vectors."""
-    return ranked(vector_scores(vectors, queries, ["chunk_id"]), most, "chunk_id")
+    """(query_id, chunk_id, score, rank) by inner product of unit vectors; null and zero vectors take no part."""
+    return ranked(vector_scores(vectors, queries, ["chunk_id"], most), most, "chunk_id")
 
 
 def image_topk(pages: DataFrame, queries: DataFrame, most: int = 10, least: float = 0.35) -> DataFrame:
     """(query_id, source, page, score, rank): pages (source, page, vector) of at least the confidence ``least``."""
-    top = ranked(vector_scores(pages, queries, ["source", "page"]), most, "source", "page")
+    top = ranked(vector_scores(pages, queries, ["source", "page"], most), most, "source", "page")
     return top.where(F.round("score", PLACES) >= least)
 
 
