@@ -138,3 +138,9 @@ def diagram_text(title: Column, source: Column, page: Column, gist: Column, medi
         some(tags, F.concat(F.lit("图上识别出的设备位号（共 "), F.size(tags).cast("string"), F.lit(" 个，以原图为准）："))),
         some(tags, F.array_join(tags, " ")),
     )
+
+
+def keyword_query(question: Column, rewritten: Column, keywords: Column) -> Column:
+    """What the word channel searches: the rewritten question and its keywords; the question itself where they are missing."""
+    query = F.coalesce(F.when(F.length(strip(rewritten)) > 0, strip(rewritten)), question)
+    return F.when(F.length(strip(keywords)) > 0, F.concat(query, F.lit(" "), strip(keywords))).otherwise(query)

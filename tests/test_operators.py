@@ -17,6 +17,7 @@ from folioframe.operators import quality as Q
 from folioframe.operators import raster as R
 from folioframe.operators import retrieval as V
 from folioframe.operators import store as S
+from folioframe.sources import store as ST
 from folioframe.sources import transcripts as TR
 from folioframe.streaming import ingest
 
@@ -132,9 +133,13 @@ def test_zero_and_null_vectors_are_not_ranked(spark):
 def test_query_blocks_give_the_same_scores(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id long, vector array<double>")
     asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10)], "query_id long, query_vector array<double>")
-    whole = sorted(map(tuple, I.vector_topk(vectors, asked).collect()))
+
+    def found():
+        return sorted((r.query_id, r.chunk_id, r["rank"], round(r.score, 9)) for r in I.vector_topk(vectors, asked).collect())
+
+    whole = found()
     monkeypatch.setattr(I, "QUERY_BLOCK", 3)
-    assert sorted(map(tuple, I.vector_topk(vectors, asked).collect())) == whole
+    assert found() == whole
 
 
 def test_latex(spark):
@@ -213,15 +218,14 @@ def test_stream_replaces_sources(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(f"{folder}/c").collect()) == ["bee", "new"]
 
 
-class Broken:
-    def write(self, prompt):
-        raise RuntimeError
-
-    def rerank(self, query, documents):
-        raise RuntimeError
+def test_providers(spark):
+    class Broken:
+        def write(self, prompt):
+            raise RuntimeError
 
+        def rerank(self, query, documents):
+            raise RuntimeError
 
-def test_providers(spark):
     df = spark.createDataFrame([("some text",), (None,)], "t string")
     assert [len(r[0]) for r in df.select(P.embedded(F.col("t"))).collect()] == [P.DIMENSIONS] * 2
     assert [r[0] for r in df.select(P.written_or(F.col("t"), F.lit("default"), Broken)).collect()] == ["default"] * 2
@@ -242,3 +246,35 @@ def test_symbols():
     found = R.symbols(mask, {"corner": mask[18:34, 28:44]})
     assert found[0][:2] == ("corner", 0) and found[0][3] == (28, 18, 44, 34) and found[0][2] > 0.99
     assert R.symbols(np.zeros((20, 20), np.uint8), {"corner": mask[18:34, 28:44]}) == []
+
+
+def test_store_layers(spark, tmp_path):
+    path = str(tmp_path)
+    assert ST.load(spark, "chunks", path) is None
+    chunks = spark.createDataFrame([(i, i, 1, f"t{i}", None, None, [1.0], s) for i, s in enumerate("aab")], ST.LAYERS["chunks"])
+    ST.save("chunks", chunks, path)
+    ST.save("chunks", chunks.where("chunk_id = 0").withColumn("text", F.lit("new")), path)
+    assert sorted((r.source, r.text) for r in ST.load(spark, "chunks", path).collect()) == [("a", "new"), ("b", "t2")]
+    assert ST.delete_source(spark, "a", path) == {"transcripts": False, "chunks": True, "images": False}
+    assert [r.source for r in ST.load(spark, "chunks", path).collect()] == ["b"]
+    ST.clear(spark, path)
+    assert ST.load(spark, "chunks", path) is None
+
+
+def test_page_image_uris(spark):
+    results = spark.createDataFrame([(1, 1, "s", 1, "a.png"), (1, 2, "s", 1, "a.png"), (1, 3, "s", 2, "gone.png"), (1, 4, "s", 3, None)], "query_id long, place int, source string, page int, image_path string")
+    files = spark.createDataFrame([("a.png", b"xy")], "image_path string, content binary")
+    assert [tuple(r) for r in ST.page_image_uris(results, files).collect()] == [(1, 1, "data:image/png;base64,eHk=")]
+
+
+def test_diagram_chunks(spark):
+    schema = "source string, page int, title string, gist string, tags array<string>, media array<string>, symbols map<string,int>, image_path string"
+    pages = spark.createDataFrame([("s", 1, "T", "", ["A1"], [], {}, None), ("s", 2, "U", "g", [], [], {"v": 1}, None)], schema)
+    images = spark.createDataFrame([("s", 1, "1.png")], "source string, page int, image_path string")
+    found = ST.diagram_chunks(pages, images, F.concat("title", F.lit("!"))).collect()
+    assert [(r.page, r.text, r.image_path) for r in found] == [(1, "T!", "1.png")]
+
+
+def test_keyword_query(spark):
+    df = spark.createDataFrame([("q", " better ", "pump"), ("q", None, "pump"), ("q", "", None)], "a string, b string, c string")
+    assert [r[0] for r in df.select(T.keyword_query(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["better pump", "q pump", "q"]
