@@ -56,12 +56,18 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "text") -
     Query terms meet postings in an equi-join on the term; a chunk is never scored against a
     query it shares nothing with.
     """
-    posts, lengths = postings(chunks, text_col), document_lengths(chunks, text_col)
-    stats = corpus_stats(lengths)
-    terms = queries.select("query_id", F.explode(query_tokens(F.col("query_text"))).alias("term"))
-    hits = terms.join(term_weights(posts, stats), "term").join(posts, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
+    words = chunks.select("chunk_id", tokens(F.col(text_col)).alias("words"))
+    posts = (
+        words.select("chunk_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+        .groupBy("chunk_id", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    stats = corpus_stats(words.select(F.size("words").alias("dl")))
+    # What a posting is worth is settled before queries meet it, so the largest join carries three columns.
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    worth = posts.join(term_weights(posts, stats), "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))
+    terms = queries.select("query_id", F.explode(query_tokens(F.col("query_text"))).alias("term"))
+    return terms.join(worth, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
 def ranked(scores: DataFrame, most: int, *ties: str) -> DataFrame:
