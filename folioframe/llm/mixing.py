@@ -12,8 +12,7 @@ Each shard's counts of the sources are therefore a multinomial draw under the co
 that the totals meet the targets (draws without replacement).  Independent draws would
 miss the targets and could take a document more than twice.
 
-Permutations are swap-or-not shuffles: every index is computed by itself, for a range of
-any size, so nothing is sorted.  Running word counts come in two levels (buckets of
+Permutations compute every index by itself, for a range of any size, so nothing is sorted.  Running word counts come in two levels (buckets of
 documents, then within a bucket), so no task sees a whole source.
 """
 
@@ -24,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, free_name, scan_partitions, text_or_empty, written
 
-#: Rounds of the swap-or-not shuffle.
-ROUNDS = 12
+#: Rounds of a permutation, and primes to multiply by: a size up to 2 ** 42 is no multiple of all three.
+ROUNDS = 3
+PRIMES = (1_048_583, 1_048_589, 1_048_601)
 #: Slots that one row expands to at once.
 SLOT_CHUNK = 4096
 #: Documents of one source in a bucket, on average.
@@ -34,15 +34,23 @@ BUCKET_ROWS = 500
 BROADCAST_SOURCES = 20_000
 
 
-def permuted(index: Column, size: Column, *key: Column) -> Column:
-    """Image of ``index`` under a pseudorandom permutation of range(size) (longs; size over 0) named by ``key``."""
+def with_permuted(df: DataFrame, name: str, index: Column, size: Column, *key: Column) -> DataFrame:
+    """Adds ``name``: the image of ``index`` under a pseudorandom permutation of range(size) named by ``key``.
 
-    def step(at: Column, turn: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(*key, turn, F.lit(1)), size) - at, size)
-        swap = F.pmod(F.xxhash64(*key, turn, F.greatest(at, partner)), F.lit(2)) == 1
-        return F.when(swap, partner).otherwise(at)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), step)
+    Index and size are longs, the size from 1 to 2 ** 42.  Each round multiplies by a prime that
+    doesn't divide the size and adds, modulo the size, then turns a first part of the range around;
+    both are permutations, and the turn isn't linear.  Every round is a projection of its own, so
+    that code is generated for it once.
+    """
+    first, second, third = (F.lit(p).cast("long") for p in PRIMES)
+    factor = F.when(size % first != 0, first).when(size % second != 0, second).otherwise(third)
+    df = df.withColumn(name, index.cast("long"))
+    at = F.col(name)
+    for turn in range(ROUNDS):
+        df = df.withColumn(name, F.pmod(at * factor + F.pmod(F.xxhash64(*key, F.lit(turn), F.lit("add")), size), size))
+        part = F.pmod(F.xxhash64(*key, F.lit(turn), F.lit("turn")), size) + 1
+        df = df.withColumn(name, F.when(at < part, part - 1 - at).otherwise(at))
+    return df
 
 
 def word_count(text: Column) -> Column:
@@ -135,14 +143,15 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int) -> DataFra
     chunks = chunks.repartition(scan_partitions(targets.sparkSession), "source", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1
     each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, last)))
-    turn, place = F.floor(F.col("k") / F.col("in_pass")), F.col("k") % F.col("in_pass")
-    words = F.least(F.lit(block_words).cast("long"), F.col("source_size") - place * block_words)
-    begin = turn * F.col("source_size") + place * block_words
-    at = permuted(F.col("ahead") + F.col("k"), F.col("all_slots"), F.lit("places"))
+    each = each.withColumn("turn", F.floor(F.col("k") / F.col("in_pass"))).withColumn("place", F.col("k") % F.col("in_pass"))
+    each = with_permuted(each, "at", F.col("ahead") + F.col("k"), F.col("all_slots"), F.lit("places"))
+    whole = F.col("place") < F.col("full")
+    each = with_permuted(each, "drawn", F.when(whole, F.col("place")).otherwise(0), F.greatest("full", F.lit(1)), F.col("source"), F.col("turn"))
+    words = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("place") * block_words)
+    begin = F.col("turn") * F.col("source_size") + F.col("place") * block_words
     return each.select(
-        F.floor(at / shard_slots).alias("shard"), (at % shard_slots).alias("slot"), "source", turn.alias("pass"),
-        F.when(place < F.col("full"), permuted(place, F.greatest("full", F.lit(1)), F.col("source"), turn)).otherwise(place).alias("block"),
-        F.least(words, F.col("due") - begin).alias("take"),
+        F.floor(F.col("at") / shard_slots).alias("shard"), (F.col("at") % shard_slots).alias("slot"), "source", F.col("turn").alias("pass"),
+        F.when(whole, F.col("drawn")).otherwise(F.col("place")).alias("block"), F.least(words, F.col("due") - begin).alias("take"),
     )
 
 
