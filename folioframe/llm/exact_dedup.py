@@ -36,13 +36,14 @@ def collision_bitmap(keys: DataFrame, key: str, filter_bits: int) -> DataFrame:
 def mark_collisions(df: DataFrame, key: str, bitmap: DataFrame, filter_bits: int, flag: str) -> DataFrame:
     """Adds boolean ``flag``: the bit of ``key`` is on.  The bitmap's size is fixed, so it is broadcast."""
     slot = F.pmod(F.col(key), F.lit(filter_bits))
-    joined = df.withColumn("__bucket", F.floor(slot / BUCKET_BITS)).join(
-        F.broadcast(bitmap.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket", "left"
+    place, bits = free_name(df, "__bucket"), free_name(df, "__bits")
+    joined = df.withColumn(place, F.floor(slot / BUCKET_BITS)).join(
+        F.broadcast(bitmap.select(F.col("bucket").alias(place), F.col("bits").alias(bits))), place, "left"
     )
     inside = (slot % BUCKET_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.getbit(byte, (inside % 8).cast("int")) == 1
-    return joined.withColumn(flag, F.coalesce(on, F.lit(False))).drop("__bucket", "__bits")
+    return joined.withColumn(flag, F.coalesce(on, F.lit(False))).drop(place, bits)
 
 
 def refine(docs: DataFrame, id_col: str, text: Column, prefix_chars: int, filter_bits: int) -> DataFrame:

@@ -187,15 +187,14 @@ def fingerprint_links(prints: DataFrame, threshold: int) -> DataFrame:
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, threshold: int = 2
 ) -> DataFrame:
-    """Rows of ``docs`` with fingerprint (16 hex digits) and component_id, the least id reachable over links.
+    """(id, fingerprint, component_id) of every row of ``docs``: 16 hex digits, and the least id reachable over links.
 
     Null is the empty text, and a text without words has fingerprint zero, which links like any
     other.  A text of fewer words than a shingle is one shingle.  ``threshold`` may be 0 to 3.
-    Null ids have their group's component_id.  Columns named like a result are replaced.
+    Null ids have their group's component_id.  Other columns of ``docs`` don't matter.
     """
     if not 0 <= threshold <= 3:
         raise ValueError("threshold must be 0 to 3")
-    docs = docs.drop("fingerprint", "component_id")
     narrow = written(
         with_fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", shingle_words, "fp").drop("text"),
         "fingerprints",

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Bits per key of a level and hash functions: about 2 % mistakes.
 BITS_PER_KEY, HASHES = 8, 5
@@ -173,17 +173,19 @@ def filter_urls(
     keys = keys_of(F.col("host"), F.col("path"), shapes)
     universe = written(out.select(F.explode(F.transform(keys, lambda k: k["key"])).alias("key")).distinct(), "url-keys")
     cascades = {v: build_cascade(spark.createDataFrame(k, "key string"), universe) for v, k in listed.items()}
-    out = out.withColumn("__keys", keys)
-    for i, cascade in enumerate(cascades.values()):
-        out = out.withColumn(f"__in{i}", cascade.listed(F.transform("__keys", lambda k: k["key"])))
+    given, listing = free_name(out, "__keys"), [free_name(out, f"__in{i}") for i in range(len(cascades))]
+    out = out.withColumn(given, keys)
+    for name, cascade in zip(listing, cascades.values(), strict=True):
+        out = out.withColumn(name, cascade.listed(F.transform(given, lambda k: k["key"])))
     # The longest key that some cascade lists.
-    verdicts = [F.transform("__keys", _hit(f"__in{i}", v)) for i, v in enumerate(cascades)]
+    verdicts = [F.transform(given, _hit(name, v)) for name, v in zip(listing, cascades, strict=True)]
     best = F.array_max(F.filter(F.concat(*verdicts), lambda h: h.isNotNull()))
+    longest = free_name(out, "__best")
     return (
-        out.withColumn("__best", best)
-        .withColumn("rule", F.col("__best")["key"])
-        .withColumn("verdict", F.coalesce(F.col("__best")["verdict"], F.lit(default)))
-        .drop("__keys", "__best", *[f"__in{i}" for i in range(len(cascades))])
+        out.withColumn(longest, best)
+        .withColumn("rule", F.col(longest)["key"])
+        .withColumn("verdict", F.coalesce(F.col(longest)["verdict"], F.lit(default)))
+        .drop(given, longest, *listing)
     )
 
 

@@ -19,11 +19,11 @@ from folioframe.llm import components, exact_dedup, line_dedup, mixing, registry
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (None, "one"), (5, "A b"), (5, "A b"), (5, "a B"), (6, "word " * 3000), (7, None)]
 #: Names that clash with results, and extra columns.
-SCHEMA = "doc_id long, text string, kept string, fingerprint int, score string, secrets string, __hit int, source string, lang string, n_chars long"
+SCHEMA = "doc_id long, text string, kept string, fingerprint int, score string, secrets string, __hit int, __bucket int, source string, lang string, n_chars long"
 
 
 def odd(spark, rows=ODD):
-    return spark.createDataFrame([(i, t, "k", 1, "s", "x", 2, None if t is None else "s1", "en", 1) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "k", 1, "s", "x", 2, 3, None if t is None else "s1", "en", 1) for i, t in rows], SCHEMA)
 
 
 def docs(spark, rows):
@@ -167,7 +167,7 @@ def test_permutation(spark):
 
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://COM/en/x", "https://a.Example.com/en/7?q#f", "x://b.net/de/8/9", "x://a.example.net/de/8", "a://b://c.org/es/", "http://notcom/en/", "http://.com/en/", "http://example.com", "http://com/EN/", "http://org:80/es/", "\n://org/es/#"]
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, __keys int")
     found = {r.page_id: r for r in url_filter.filter_urls(df, registry.URL_RULES).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", u or "")
