@@ -198,14 +198,14 @@ BLOCKS = """('a', 1, 'text', '0', 'Intro $235m^{3}/hour$ here', CAST(NULL AS STR
 
 
 def layout_blocks(s: SparkSession, d: str) -> DataFrame:
-    """The fixture, and the raw web pages' titles as headings."""
+    """The fixture, and the raw web pages' titles as headings (without dollars, as SQL can't rewrite formulas)."""
     fixture = values(s, BLOCKS, "source, place, type, page_idx, text, text_level, table_body, caption").select(
         "source", F.col("place").cast("long").alias("place"), "type", "page_idx", "text", "text_level", "table_body",
         F.when(F.col("caption").isNotNull(), F.array("caption")).alias("table_caption"), F.lit(None).cast("array<string>").alias("image_caption"),
     )
     web = table(s, d, "pages").select(
         F.lit("web").alias("source"), F.col("page_id").alias("place"), F.lit("text").alias("type"), F.floor(F.col("page_id") / 10).cast("string").alias("page_idx"),
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"), F.lit("1").alias("text_level"), F.lit(None).cast("string").alias("table_body"),
+        F.translate(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "$", "S").alias("text"), F.lit("1").alias("text_level"), F.lit(None).cast("string").alias("table_body"),
         F.lit(None).cast("array<string>").alias("table_caption"), F.lit(None).cast("array<string>").alias("image_caption"),
     )
     return fixture.unionByName(web)
@@ -295,7 +295,7 @@ ORACLE_SQL = {
     "evidence_verify": rf"""WITH {PAGES}, q AS (SELECT item_id AS case_id, regexp_replace(text, '\s+', '', 'g') AS w FROM benchmark)
         SELECT case_id, source, page FROM q, (SELECT source, page, regexp_replace(text, '\s+', '', 'g') AS t FROM pages_) WHERE contains(t, w) AND w <> ''""",
     "blocks_to_pages": f"""SELECT 'web' AS source, CAST(page_id // 10 + 1 AS INTEGER) AS page,
-            string_agg('# ' || t, {NL} || {NL} ORDER BY page_id) AS text FROM (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages) WHERE t <> '' GROUP BY ALL
+            string_agg('# ' || t, {NL} || {NL} ORDER BY page_id) AS text FROM (SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '$', 'S')) AS t FROM pages) WHERE t <> '' GROUP BY ALL
         UNION ALL VALUES ('a', 1, 'Intro 235m³/hour here' || {NL} || {NL} || '## Heading'),
                          ('a', 2, 'Caption' || {NL} || '| h | k |' || {NL} || '|---|---|' || {NL} || '| 1 | 2 |' || {NL} || {NL} || '###### Deep')""",
     "page_batches": """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
