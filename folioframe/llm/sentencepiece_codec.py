@@ -28,7 +28,9 @@ from .common import append_columns
 MARK = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Parts remembered by one Python worker; beyond it the memory is emptied, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Pairs of pieces whose compatibility is remembered, likewise.
+PAIRS = 300_000
 
 
 class PieceCodec:
@@ -97,7 +99,7 @@ class PieceCodec:
         """Whether merging both texts again keeps the border between them."""
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) > 4 * REMEMBERED:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._remerge(left, right)
         return known
