@@ -10,12 +10,15 @@ where to where it stands in the original text; that maps what is found back.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +37,17 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-URL_ESCAPES = re.compile("(?:%[0-9A-Fa-f]{2})+")
+URL_ESCAPES = re.compile("(?:%[0-9A-Fa-f]{2})++")
 UNICODE_ESCAPES = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 SEPARATORS = re.compile("[/_+-]")
-#: Most bytes that one compressed layer may unfold to; a bomb is cut here.
-MOST_UNFOLDED = 1 << 26
+#: Bytes that are read, unfolded or decoded at once, and most bytes of a layer that are held in memory.
+CHUNK, MOST_HELD = 3 << 16, 1 << 23
+#: The patterns over bytes: they name ASCII alone, so they match UTF-8 as they match the text.
+ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, URL_BYTES, UNICODE_BYTES, BASE64_BYTES, SEPARATOR_BYTES = (
+    re.compile(p.pattern.encode(), p.flags & re.I) for p in (ASSIGN, ACCESS, HEX, URL_ESCAPES, UNICODE_ESCAPES, BASE64_RUN, SEPARATORS)
+)
+STANDARD_DIGITS = bytes.maketrans(b"-_", b"+/")
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, int]]:
@@ -92,65 +100,234 @@ def unicode_decoded(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def unfolded(data: bytes) -> bytes | None:
-    """What compressed bytes (gzip, zlib, bzip2, xz) hold, as far as they are whole; None for others."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_UNFOLDED)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_UNFOLDED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_UNFOLDED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MOST_UNFOLDED)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        pass
+class Spool:
+    """Takes bytes in pieces; what exceeds ``MOST_HELD`` is kept in a nameless file of the task."""
+
+    def __init__(self):
+        self.held, self.file, self.size = bytearray(), None, 0
+
+    def write(self, piece: bytes) -> None:
+        self.held += piece
+        self.size += len(piece)
+        if len(self.held) > MOST_HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(self.held)
+            self.held = bytearray()
+
+    def whole(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return bytes(self.held)
+        self.file.write(self.held)
+        self.file.flush()
+        with self.file:
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def pieces(data: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    for at in range(start, end, CHUNK):
+        yield data[at : min(at + CHUNK, end)]
+
+
+def decompressor(head: bytes):
+    """What unfolds bytes that begin like ``head`` (gzip, zlib, bzip2, xz); None for others."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
+def stream_end(stream, data: bytes | mmap.mmap, at: int, out: Spool) -> int | None:
+    """Unfolds the stream that begins at ``at``, piece by piece, and tells where it ends; None if it breaks off."""
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
+        while not stream.eof:
+            feed = getattr(stream, "unconsumed_tail", b"")
+            if not feed and getattr(stream, "needs_input", True):
+                feed = data[at : at + CHUNK]
+                at += len(feed)
+            piece = stream.decompress(feed, CHUNK)
+            out.write(piece)
+            if not feed and not piece and at >= len(data):
+                return None
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
         return None
+    return at - len(stream.unused_data)
+
+
+def unfolded(data: bytes | mmap.mmap) -> Iterator[tuple[bytes | mmap.mmap, bool]]:
+    """What compressed bytes hold, all streams (members) of them joined, and then what follows the last stream.
+
+    Each with whether it breaks off; a broken stream counts as far as it unfolds.  Nothing for bytes that aren't compressed.
+    """
+    out, at, size, size_before = Spool(), 0, 0, 0
+    while at is not None and (stream := decompressor(data[at : at + 6])):
+        last, size_before = at, size
+        at = stream_end(stream, data, at, out)
+        size = out.size
+        while at is not None and data[at : at + 1] == b"\0":  # padding between streams
+            at += 1
+    if at == 0:
+        return
+    whole = out.whole()
+    yield whole, at is None
+    if at is None:
+        if not last:
+            return
+        # What looked like one more stream may be something else: the streams before it, and it by itself.
+        at = last
+        before = Spool()
+        for piece in pieces(whole, 0, size_before):
+            before.write(piece)
+        yield before.whole(), False
+    if at < len(data):
+        rest = Spool()
+        for piece in pieces(data, at, len(data)):
+            rest.write(piece)
+        yield rest.whole(), False
+
+
+def is_text(data: bytes | mmap.mmap, breaks_off: bool) -> bool:
+    """Whether bytes are UTF-8; of those that break off the last character may be cut."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        for piece in pieces(data, 0, len(data)):
+            decoder.decode(piece)
+        decoder.decode(b"", not breaks_off)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def base64_spans(text: str | bytes | mmap.mmap) -> Iterator[tuple[int, int]]:
+    """From where to where base64 stands.  A run may have been glued to a path or a key before it."""
+    run, separator = (BASE64_RUN, SEPARATORS) if isinstance(text, str) else (BASE64_BYTES, SEPARATOR_BYTES)
+    for m in run.finditer(text):
+        for start in chain([m.start()], (s.end() for s in separator.finditer(text, m.start(), m.end()))):
+            if m.end() - start >= 16:
+                yield start, m.end()
+
+
+def base64_data(text: str | bytes | mmap.mmap, start: int, end: int) -> bytes | mmap.mmap | None:
+    """The bytes of a run; None if they are neither compressed nor UTF-8, as far as the first ones tell."""
+    out, rest = Spool(), b""
+    for at in chain([start], range(start + 64, end, CHUNK)):
+        digits = text[at : min(end, at + CHUNK if at > start else start + 64)]
+        digits = rest + (digits.encode() if isinstance(digits, str) else digits).translate(STANDARD_DIGITS, b"=")
+        whole = len(digits) // 4 * 4
+        rest = digits[whole:]
+        piece = base64.b64decode(digits[:whole])
+        if at == start and not decompressor(piece) and not is_text(piece, True):
+            return None
+        out.write(piece)
+    if len(rest) > 1:
+        out.write(base64.b64decode(rest + b"=" * (4 - len(rest))))
+    return out.whole()
+
+
+def url_unescaped(data: bytes | mmap.mmap) -> Iterator[bytes | mmap.mmap]:
+    """Bytes of a text with URL escapes decoded, if there are any."""
+    out, last = Spool(), 0
+    for m in URL_BYTES.finditer(data):
+        for piece in pieces(data, last, m.start()):
+            out.write(piece)
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        for piece in pieces(data, m.start(), m.end()):
+            out.write(decoder.decode(bytes.fromhex(piece.replace(b"%", b"").decode())).encode())
+        out.write(decoder.decode(b"", True).encode())
+        last = m.end()
+    if last:
+        for piece in pieces(data, last, len(data)):
+            out.write(piece)
+        yield out.whole()
+
+
+def unicode_unescaped(data: bytes | mmap.mmap) -> Iterator[bytes | mmap.mmap]:
+    """Bytes of a text with Unicode escapes decoded, if there are any."""
+    out, last = Spool(), 0
+    for m in UNICODE_BYTES.finditer(data):
+        if (new := unicode_decoded(m)) is None:
+            continue
+        for piece in pieces(data, last, m.start()):
+            out.write(piece)
+        out.write(new.encode())
+        last = m.end()
+    if last:
+        for piece in pieces(data, last, len(data)):
+            out.write(piece)
+        yield out.whole()
+
+
+def decoded(data: bytes | mmap.mmap) -> Iterator[tuple[bytes | mmap.mmap, bool]]:
+    """Everything in a text, given as bytes, that decodes."""
+    for found in chain(url_unescaped(data), unicode_unescaped(data), (base64_data(data, *span) for span in base64_spans(data))):
+        if found is not None:
+            yield found, False
+
+
+def kinds_in(data: bytes | mmap.mmap) -> Iterator[int]:
+    """Kinds of the base matches in a text, given as bytes."""
+    if any(m.end("value") - m.start("value") >= LEAST_VALUE for m in ASSIGN_BYTES.finditer(data)):
+        yield 0
+    if any(m.end() - m.start() >= LEAST_ACCESS for m in ACCESS_BYTES.finditer(data)):
+        yield 1
+    if HEX_BYTES.search(data):
+        yield 2
+
+
+def packed_kinds(data: bytes | mmap.mmap) -> set[int]:
+    """Kinds of all base matches in what compressed bytes hold, and in everything that decodes from it.
+
+    No stream is cut: layers are taken one at a time and depth first, large ones from a file.
+    """
+    kinds: set[int] = set()
+    work = [unfolded(data)]
+    while work and len(kinds) < len(KINDS):
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        layer, breaks_off = found
+        if is_text(layer, breaks_off):
+            kinds.update(kinds_in(layer))
+            work.append(decoded(layer))
+        work.append(unfolded(layer))
+    return kinds
+
+
+def base64_layers(layer: Layer, found: dict[tuple[int, int, int], bool]) -> Iterator[Layer]:
+    """Layers of the base64 runs that hold text in UTF-8; of those that hold compressed bytes the matches go to ``found``."""
+    for start, end in base64_spans(layer.text):
+        data = base64_data(layer.text, start, end)
+        if data is None:
+            continue
+        if decompressor(data[:6]):  # compressed bytes have no places of their own
+            a, b = layer.original(start, end)
+            for kind in packed_kinds(data):
+                found.setdefault((a, kind, b), False)
+        try:
+            text = data[:].decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        starts, ends, at, last = [], [], 0, end - start - 1
+        for c in text:  # byte i stands in digits 4 * i // 3 to (4 * (i + 1) - 1) // 3
+            n = len(c.encode())
+            starts.append(layer.starts[start + min(at * 4 // 3, last)])
+            ends.append(layer.ends[start + min((4 * (at + n) - 1) // 3, last)])
+            at += n
+        yield Layer(text, starts, ends)
 
 
-def base64_layers(layer: Layer) -> Iterator[Layer]:
-    """Layers of the base64 runs: text in UTF-8, or compressed bytes that hold such."""
-    for m in BASE64_RUN.finditer(layer.text):
-        # A run may have been glued to a path or a key before it.
-        for start in dict.fromkeys([m.start(), *(m.start() + s.end() for s in SEPARATORS.finditer(m[0]))]):
-            run = layer.text[start : m.end()]
-            if len(run) < 16 or (data := base64_bytes(run)) is None:
-                continue
-            packed = False
-            while (inner := unfolded(data)) is not None:
-                data, packed = inner, True
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if packed:  # compressed bytes have no places of their own
-                yield Layer(text, [layer.starts[start]] * len(text), [layer.ends[m.end() - 1]] * len(text))
-                continue
-            starts, ends, at, last = [], [], 0, m.end() - start - 1
-            for c in text:  # byte i stands in digits 4 * i // 3 to (4 * (i + 1) - 1) // 3
-                n = len(c.encode())
-                starts.append(layer.starts[start + min(at * 4 // 3, last)])
-                ends.append(layer.ends[start + min((4 * (at + n) - 1) // 3, last)])
-                at += n
-            yield Layer(text, starts, ends)
-
-
-def inner_layers(layer: Layer) -> Iterator[Layer]:
-    """Everything in a layer that decodes."""
+def inner_layers(layer: Layer, found_packed: dict[tuple[int, int, int], bool]) -> Iterator[Layer]:
+    """Everything in a layer that decodes to text; matches in compressed bytes go to ``found_packed``."""
     if "%" in layer.text and (found := replaced(layer, URL_ESCAPES, url_decoded)):
         yield found
     if "\\" in layer.text and (found := replaced(layer, UNICODE_ESCAPES, unicode_decoded)):
         yield found
-    yield from base64_layers(layer)
+    yield from base64_layers(layer, found_packed)
 
 
 def scan(text: str) -> list[tuple[int, int, int, bool]]:
@@ -164,7 +341,7 @@ def scan(text: str) -> list[tuple[int, int, int, bool]]:
         for start, end, kind in base_spans(layer.text):
             a, b = layer.original(start, end)
             found.setdefault((a, kind, b), layer is first)
-        for inner in inner_layers(layer):
+        for inner in inner_layers(layer, found):
             if inner.text and (key := (inner.starts[0], inner.ends[-1], inner.text)) not in seen:
                 seen.add(key)
                 work.append(inner)
