@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import bz2
 import codecs
+import hashlib
 import lzma
 import mmap
 import re
@@ -278,12 +279,21 @@ def kinds_in(data: bytes | mmap.mmap) -> Iterator[int]:
         yield 2
 
 
+def digest(data: bytes | mmap.mmap) -> bytes:
+    found = hashlib.blake2b(digest_size=16)
+    for piece in pieces(data, 0, len(data)):
+        found.update(piece)
+    return found.digest()
+
+
 def packed_kinds(data: bytes | mmap.mmap) -> set[int]:
     """Kinds of all base matches in what compressed bytes hold, and in everything that decodes from it.
 
-    No stream is cut: layers are taken one at a time and depth first, large ones from a file.
+    No stream is cut: layers are taken one at a time and depth first, large ones from a file.  A layer
+    seen before, compressed or text, isn't taken up again, so bytes that unfold to themselves end.
     """
     kinds: set[int] = set()
+    seen = {(digest(data), False)}
     work = [unfolded(data)]
     while work and len(kinds) < len(KINDS):
         found = next(work[-1], None)
@@ -291,6 +301,9 @@ def packed_kinds(data: bytes | mmap.mmap) -> set[int]:
             work.pop()
             continue
         layer, breaks_off = found
+        if (key := (digest(layer), breaks_off)) in seen:
+            continue
+        seen.add(key)
         if is_text(layer, breaks_off):
             kinds.update(kinds_in(layer))
             work.append(decoded(layer))

@@ -445,6 +445,24 @@ def test_secrets_behind_a_long_layer():
     assert sorted((k, base) for k, _, _, base in found) == [("access", False), ("assign", False), ("hex", False)]
 
 
+@pytest.mark.parametrize("ring", [1, 3])
+def test_secrets_in_a_ring_of_streams(monkeypatch, ring):
+    links = [b"\x1f\x8b" + bytes([i]) * 20 for i in range(ring)]
+    steps = []
+
+    class Unfolder:  # the i-th link unfolds to the next, the last one to the first
+        eof, unused_data = False, b""
+
+        def decompress(self, data, _):
+            self.eof = True
+            steps.append(data)
+            assert len(steps) < 50
+            return links[(data[2] + 1) % ring]
+
+    monkeypatch.setattr(secrets, "decompressor", lambda head: Unfolder() if head[:2] == b"\x1f\x8b" else None)
+    assert kinds(base64.b64encode(links[0]).decode()) == [] and steps
+
+
 def test_secrets_odd_rows(spark):
     rows = [*ODD, (9, "%" * 50), (10, "\\u0025" * 9 + "41"), (11, "%2525252541")]
     found = secrets.find_secrets(odd(spark, rows)).collect()
