@@ -41,13 +41,18 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 URL_ESCAPES = re.compile("(?:%[0-9A-Fa-f]{2})++")
 UNICODE_ESCAPES = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines that end, and begin but for indentation, with digits of base64; and these digits, line by line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE_DIGITS = re.compile("[A-Za-z0-9+/_-]++={0,2}")
 SEPARATORS = re.compile("[/_+-]")
 #: Bytes that are read, unfolded or decoded at once, and most bytes of a layer that are held in memory.
 CHUNK, MOST_HELD = 3 << 16, 1 << 23
 #: The patterns over bytes: they name ASCII alone, so they match UTF-8 as they match the text.
-ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, URL_BYTES, UNICODE_BYTES, BASE64_BYTES, SEPARATOR_BYTES = (
-    re.compile(p.pattern.encode(), p.flags & re.I) for p in (ASSIGN, ACCESS, HEX, URL_ESCAPES, UNICODE_ESCAPES, BASE64_RUN, SEPARATORS)
+ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, URL_BYTES, UNICODE_BYTES, BASE64_BYTES, WRAPPED_BYTES, LINE_BYTES, SEPARATOR_BYTES = (
+    re.compile(p.pattern.encode(), p.flags & re.I) for p in (ASSIGN, ACCESS, HEX, URL_ESCAPES, UNICODE_ESCAPES, BASE64_RUN, WRAPPED, LINE_DIGITS, SEPARATORS)
 )
+LEAST_BASE64 = 16
+BREAKS = "\x20\t\r\n"
 STANDARD_DIGITS = bytes.maketrans(b"-_", b"+/")
 
 
@@ -204,20 +209,51 @@ def is_text(data: bytes | mmap.mmap, breaks_off: bool) -> bool:
 
 
 def base64_spans(text: str | bytes | mmap.mmap) -> Iterator[tuple[int, int]]:
-    """From where to where base64 stands.  A run may have been glued to a path or a key before it."""
-    run, separator = (BASE64_RUN, SEPARATORS) if isinstance(text, str) else (BASE64_BYTES, SEPARATOR_BYTES)
+    """From where to where base64 stands, in a line or wrapped.  A run may have been glued to a path or a key before it."""
+    run, wrapped, separator = (BASE64_RUN, WRAPPED, SEPARATORS) if isinstance(text, str) else (BASE64_BYTES, WRAPPED_BYTES, SEPARATOR_BYTES)
     for m in run.finditer(text):
         for start in chain([m.start()], (s.end() for s in separator.finditer(text, m.start(), m.end()))):
-            if m.end() - start >= 16:
+            if m.end() - start >= LEAST_BASE64:
                 yield start, m.end()
+    for m in wrapped.finditer(text):
+        for start, line_end, end in wrapped_spans(text, m.start(), m.end()):
+            for at in chain([start], (s.end() for s in separator.finditer(text, start, line_end))):
+                if end - at > LEAST_BASE64:
+                    yield at, end
+
+
+def wrapped_spans(text: str | bytes | mmap.mmap, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end of the first line, end) of blocks among lines of digits.
+
+    A block has lines of one width.  A line of another width may stand before it (its first part is something else) and a
+    shorter one may end it; as neither need belong to it, the block comes with and without them.
+    """
+    lead = block = None  # (start, end) of the line ahead of the block, and of the block's first line
+    width = count = last = 0
+    for m in (LINE_DIGITS if isinstance(text, str) else LINE_BYTES).finditer(text, start, end):
+        size = m.end() - m.start()
+        if block and size == width:
+            count, last = count + 1, m.end()
+            continue
+        if block:
+            for first in filter(None, (lead, block)):
+                if count > 1 or first is lead:
+                    yield *first, last
+                if size < width:
+                    yield *first, m.end()
+        lead = block if count == 1 else None
+        block, width, count, last = m.span(), size, 1, m.end()
+    for first in filter(None, (lead, block)):
+        if count > 1 or (first is lead and count):
+            yield *first, last
 
 
 def base64_data(text: str | bytes | mmap.mmap, start: int, end: int) -> bytes | mmap.mmap | None:
-    """The bytes of a run; None if they are neither compressed nor UTF-8, as far as the first ones tell."""
+    """The bytes of a run, line breaks left out; None if they are neither compressed nor UTF-8, as far as the first ones tell."""
     out, rest = Spool(), b""
     for at in chain([start], range(start + 64, end, CHUNK)):
         digits = text[at : min(end, at + CHUNK if at > start else start + 64)]
-        digits = rest + (digits.encode() if isinstance(digits, str) else digits).translate(STANDARD_DIGITS, b"=")
+        digits = rest + (digits.encode() if isinstance(digits, str) else digits).translate(STANDARD_DIGITS, b"=" + BREAKS.encode())
         whole = len(digits) // 4 * 4
         rest = digits[whole:]
         piece = base64.b64decode(digits[:whole])
@@ -325,11 +361,12 @@ def base64_layers(layer: Layer, found: dict[tuple[int, int, int], bool]) -> Iter
             text = data[:].decode("utf-8")
         except UnicodeDecodeError:
             continue
-        starts, ends, at, last = [], [], 0, end - start - 1
+        places = [i for i in range(start, end) if layer.text[i] not in BREAKS]
+        starts, ends, at, last = [], [], 0, len(places) - 1
         for c in text:  # byte i stands in digits 4 * i // 3 to (4 * (i + 1) - 1) // 3
             n = len(c.encode())
-            starts.append(layer.starts[start + min(at * 4 // 3, last)])
-            ends.append(layer.ends[start + min((4 * (at + n) - 1) // 3, last)])
+            starts.append(layer.starts[places[min(at * 4 // 3, last)]])
+            ends.append(layer.ends[places[min((4 * (at + n) - 1) // 3, last)]])
             at += n
         yield Layer(text, starts, ends)
 

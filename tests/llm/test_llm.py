@@ -445,6 +445,26 @@ def test_secrets_behind_a_long_layer():
     assert sorted((k, base) for k, _, _, base in found) == [("access", False), ("assign", False), ("hex", False)]
 
 
+@pytest.mark.parametrize("width", [8, 64, 76])
+@pytest.mark.parametrize("pack", [bytes, *PACKERS])
+@pytest.mark.parametrize("around", [("", "", "\n"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----\n", "\r\n"), ("Body follows\n  ", "\nEnd of it", "\n  "), ("key: 'QUJD", "'", "\n\t")])
+def test_secrets_in_wrapped_base64(width, pack, around):
+    before, after, line_break = around
+    if pack is not bytes:
+        before = before.replace("QUJD", "")
+    first = width - 5 if "key" in before else width
+    r = random.Random(width)
+    for filler in (200, 201, 300, 430):
+        inner = "".join(r.choices("ghijklmno ", k=filler)).encode() + b" " + SECRET + b" " + "".join(r.choices("ghijk mno", k=filler)).encode()
+        digits = base64.b64encode(pack(inner)).decode()
+        text = f"é {before}{line_break.join([digits[:first], *(digits[i : i + width] for i in range(first, len(digits), width))])}{after}"
+        found = [(a, b) for k, a, b, base in kinds(text) if k == "assign" and not base]
+        assert found
+        if pack is bytes:
+            a, b = found[0]
+            assert len(re.sub(r"\s", "", text[a:b])) in range(33, 38)
+
+
 @pytest.mark.parametrize("ring", [1, 3])
 def test_secrets_in_a_ring_of_streams(monkeypatch, ring):
     links = [b"\x1f\x8b" + bytes([i]) * 20 for i in range(ring)]
