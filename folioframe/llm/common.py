@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,26 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of this machine is chosen.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder of this machine
+    serves a local session (tests) until the process ends; a cluster without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioframe-"))
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioframe-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's tables between steps lie."""
+    return f"{shared_dir(spark)}/folioframe/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends, and no executor's loss loses it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioframe/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> None:
+    """Deletes all tables between steps of this application; results that aren't written yet can't be read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or ``base`` with as many underscores as make it new to ``df``."""
     taken = {c.lower() for c in df.columns}

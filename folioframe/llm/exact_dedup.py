@@ -1,11 +1,11 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Each level only looks at rows whose group at the level before had several
-members.  Which groups those are is sent to the tasks as a bitmap of fixed size
-(``filter_bits`` bits, whatever the corpus): a row whose bit is off is unique for
-certain, so its text is neither hashed in full nor shuffled.  A bit set by
-another group costs a needless hash, never a wrong result, since the last level
-groups by the SHA-256 of the whole text.
+members.  Which groups those are is sent to the tasks as a bitmap (sized by the
+number of rows, at most 32 MB): a row whose bit is off is unique for certain, so
+its text is neither compared nor shuffled.  A bit set by another group costs
+needless work, never a wrong result, since the last level groups by the SHA-256 of
+the whole text.
 
 Groups are only ever pre-aggregated (largest id, count).  The rows of a group meet
 again in an equi-join of which Spark splits hot partitions, so a group with a
@@ -46,18 +46,27 @@ def mark_collisions(df: DataFrame, key: str, bitmap: DataFrame, filter_bits: int
     return joined.withColumn(flag, F.coalesce(on, F.lit(False))).drop(place, bits)
 
 
-def refine(docs: DataFrame, id_col: str, text: Column, prefix_chars: int, filter_bits: int) -> DataFrame:
-    """The level-two bitmap: which (length, prefix hash) groups have several members."""
+def bitmap_bits(rows: int, least: int = 1 << 20, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for keys of ``rows`` rows: eight for each, at most 32 MB in all.
+
+    A bitmap too small for its keys lets more rows through than need be; results don't change.
+    """
+    return min(most, max(least, 1 << (8 * max(1, rows) - 1).bit_length()))
+
+
+def refine(docs: DataFrame, text: Column, prefix_chars: int, filter_bits: int | None) -> tuple[DataFrame, int]:
+    """The level-two bitmap (which length and prefix hash groups have several members), and its bits."""
     head = F.substring(text, 1, prefix_chars)
     narrow = written(
         docs.select(F.octet_length(text).cast("long").alias("n"), F.xxhash64(F.octet_length(text), head).alias("prefix")),
         "exact-signatures",
     )
+    bits = filter_bits or bitmap_bits(narrow.count())
     lengths = narrow.groupBy("n").count().where("count > 1").select(F.xxhash64("n").alias("key"))
-    by_length = collision_bitmap(lengths, "key", filter_bits)
-    survivors = mark_collisions(narrow.withColumn("key", F.xxhash64("n")), "key", by_length, filter_bits, "hit").where("hit")
+    by_length = collision_bitmap(lengths, "key", bits)
+    survivors = mark_collisions(narrow.withColumn("key", F.xxhash64("n")), "key", by_length, bits, "hit").where("hit")
     prefixes = survivors.groupBy("prefix").count().where("count > 1")
-    return written(collision_bitmap(prefixes, "prefix", filter_bits), "exact-bitmap")
+    return written(collision_bitmap(prefixes, "prefix", bits), "exact-bitmap"), bits
 
 
 def exact_dedup(
@@ -65,7 +74,8 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 256,
-    filter_bits: int = 1 << 24,
+    filter_bits: int | None = None,
+    digest_col: str | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with keep_id, group_size and kept.
 
@@ -73,24 +83,33 @@ def exact_dedup(
     row with the largest id stays (null ids come last).  Rows that repeat id and text
     are one group: exactly one of them stays.  Columns of ``docs`` that are named like a
     result are replaced; all others pass through.  An empty table gives an empty result.
+
+    With ``digest_col`` every row has the SHA-256 of its text (lowercase hex) in that column
+    and no text: it is hashed once, where it is read, and never shuffled.
     """
-    docs = docs.drop("keep_id", "group_size", "kept")
+    docs = docs.drop("keep_id", "group_size", "kept", *([digest_col] if digest_col else []))
     text, narrow_id = text_or_empty(text_col), F.col(f"`{id_col}`")
-    key, hit, full, tie = (free_name(docs, c) for c in ("__prefix", "__hit", "__full", "__tie"))
-    bitmap = refine(docs, id_col, text, prefix_chars, filter_bits)
+    key, hit, tie, first = (free_name(docs, c) for c in ("__prefix", "__hit", "__tie", "__first"))
+    full = digest_col or free_name(docs, "__full")
+    bitmap, bits = refine(docs, text, prefix_chars, filter_bits)
     marked = mark_collisions(
-        docs.withColumn(key, F.xxhash64(F.octet_length(text), F.substring(text, 1, prefix_chars))), key, bitmap, filter_bits, hit
+        docs.withColumn(key, F.xxhash64(F.octet_length(text), F.substring(text, 1, prefix_chars))), key, bitmap, bits, hit
     ).drop(key)
+    if digest_col:
+        marked = marked.withColumn(full, F.sha2(text, 256)).drop(text_col)
+    passed = [c for c in marked.columns if c != hit]
     unique = marked.where(~F.col(hit)).select(
-        *docs.columns, narrow_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+        *(F.col(f"`{c}`") for c in passed), narrow_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    hashed = marked.where(F.col(hit)).drop(hit).withColumn(full, F.sha2(text, 256))
+    hashed = marked.where(F.col(hit)).drop(hit)
+    if not digest_col:
+        hashed = hashed.withColumn(full, F.sha2(text, 256))
     groups = written(
         hashed.groupBy(full).agg(F.max(narrow_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups"
     )
     members = hashed.join(groups, full)
     largest = narrow_id.eqNullSafe(F.col("keep_id"))
-    result = [*(F.col(f"`{c}`") for c in docs.columns), F.col("keep_id"), F.col("group_size")]
+    result = [*(F.col(f"`{c}`") for c in passed), F.col("keep_id"), F.col("group_size")]
     repeats = written(
         members.where(largest & (F.col("group_size") > 1)).groupBy(full).count().where("count > 1"), "exact-repeats"
     )
@@ -100,11 +119,11 @@ def exact_dedup(
     several = F.coalesce(F.col(tie), F.lit(False)) & largest
     plain = flagged.where(~several).select(*result, largest.alias("kept"))
     # Rows that repeat the kept id: one copy of one kind stays, all else goes.
-    kinds = flagged.where(several).groupBy(full, *result).agg(F.count(F.lit(1)).cast("int").alias(tie))
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    stays = order == F.col("__first")
+    names = [*passed, "keep_id", "group_size"]
+    kinds = flagged.where(several).groupBy(*dict.fromkeys([full, *names])).agg(F.count(F.lit(1)).cast("int").alias(tie))
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in passed])
     others = F.array_repeat(F.lit(False), F.col(tie) - 1)
-    numbered = kinds.join(kinds.groupBy(full).agg(F.min(order).alias("__first")), full).select(
-        *result, F.explode(F.concat(F.array(stays), others)).alias("kept")
+    numbered = kinds.join(kinds.groupBy(full).agg(F.min(order).alias(first)), full).select(
+        *result, F.explode(F.concat(F.array(order == F.col(first)), others)).alias("kept")
     )
     return unique.unionByName(plain).unionByName(numbered)

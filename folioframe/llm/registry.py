@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup, mixing, secrets, sentencepiece_codec, simhash, substring_dedup, topk_search, toxicity, url_filter
-from .common import table, text_or_empty
+from .common import table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2(text_or_empty("text"), 256).alias("text_sha256")
-    )
+    found = exact_dedup.exact_dedup(docs, digest_col="text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
