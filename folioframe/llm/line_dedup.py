@@ -9,12 +9,15 @@ what was deleted where, so equal keys mean an edit distance of at most one:
   inserted:  a without word i, and b as a whole.
 
 So lines meet in aggregations (the earliest line of each key), never in pairs, however many
-share a key.  The edit distance to the earliest is verified on the words.
+share a key.  The edit distance to the earliest is verified on the words; a key whose lines are not
+near (hashes that agree by chance) is taken apart by the variants themselves.
+
+Equal lines are those of one 128-bit hash.  Rows are told apart by id and digest of the text.
 
 Variants are made only of lines that can have a near line: two near lines share their first
 or their last half, so a line whose halves no other line has is settled by its half keys.
-Which keys have several lines is sent as a bitmap of fixed size (see ``exact_dedup``); its
-mistakes cost work, never results.
+Which keys have several lines is sent as a bitmap sized by the number of lines, 32 MB at most (see
+``exact_dedup``); its mistakes cost work, never results.
 """
 
 from __future__ import annotations
@@ -22,17 +25,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, text_or_empty, written
-from .exact_dedup import collision_bitmap, mark_collisions
+from .common import WORD_PATTERN, free_name, text_or_empty, written
+from .exact_dedup import bitmap_bits, collision_bitmap, mark_collisions
 
 #: Distances of the doubling steps that make prefix sums of an array.
 DOUBLINGS = [1 << i for i in range(30)]
+#: Bits of a variant's key.
+KEY_BITS = 64
+#: The two halves of a line's hash.
+HASH = ["h", "g"]
+
+
+def row_digest(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, words): every line, counted from 0, with its words."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "text"))
-    return lines.select("id", "line", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    """(id, digest, line, words, text, h, g): every line, counted from 0, with its words, and these joined and hashed."""
+    lines = docs.select(
+        F.col(f"`{id_col}`").alias("id"), row_digest(text_col).alias("digest"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "text")
+    )
+    worded = lines.select("id", "digest", "line", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    joined = worded.withColumn("text", F.array_join("words", " "))
+    return joined.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit("second"), "text"))
 
 
 def half_keys(words: Column) -> Column:
@@ -62,8 +78,11 @@ def prefix_xor(values: Column) -> Column:
     )
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(key, role, id, line, h): the deletion neighbourhood of distinct lines (id, line, h, words)."""
+def variants(lines: DataFrame, spelled: bool = False) -> DataFrame:
+    """(key, role, place, h, g): the deletion neighbourhood of distinct lines (place, h, g, words).
+
+    With ``spelled`` also ``variant``, what the key stands for.
+    """
     at = lines.withColumn("here", F.transform("words", lambda w, i: F.xxhash64(i, w)))
     at = at.withColumn("moved", F.transform("words", lambda w, i: F.xxhash64(i - 1, w)))
     at = at.withColumn("whole", xor_all(F.col("here"))).withColumn("all_moved", xor_all(F.col("moved")))
@@ -72,14 +91,32 @@ def variants(lines: DataFrame) -> DataFrame:
     replaced = F.transform("here", lambda g, i: F.xxhash64(F.lit("replaced"), F.col("n"), i, F.col("whole").bitwiseXOR(g)))
     # Words before i keep their places, those behind it move up by one.
     shorter = F.zip_with("running", "here", lambda r, g: r.bitwiseXOR(g).bitwiseXOR(F.col("all_moved")))
-    deleted = F.array_distinct(F.transform(shorter, lambda v: F.xxhash64(F.lit("shorter"), F.col("n") - 1, v)))
+    deleted = F.transform(shorter, lambda v: F.xxhash64(F.lit("shorter"), F.col("n") - 1, v))
     own = F.array(F.xxhash64(F.lit("shorter"), F.col("n"), F.col("whole")))
 
-    def keyed(keys: Column, role: str) -> Column:
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(role).alias("role")))
+    def without(i: Column) -> Column:
+        return F.array_join(F.filter("words", lambda _, j: j != i), " ")
 
-    every = F.concat(keyed(replaced, "replaced"), keyed(deleted, "deleted"), keyed(own, "whole"))
-    return at.select(F.explode(every).alias("v"), "id", "line", "h").select("v.key", "v.role", "id", "line", "h")
+    def keyed(keys: Column, role: str, text) -> Column:
+        cut = F.lit((1 << KEY_BITS) - 1 if KEY_BITS < 64 else -1).cast("long")
+        spelling = [lambda i: text(i).alias("variant")] if spelled else []
+        return F.transform(keys, lambda k, i: F.struct(k.bitwiseAND(cut).alias("key"), F.lit(role).alias("role"), *[f(i) for f in spelling]))
+
+    every = F.concat(
+        keyed(replaced, "replaced", lambda i: F.concat(F.lit("replaced "), F.col("n").cast("string"), F.lit(" "), i.cast("string"), F.lit(" "), without(i))),
+        F.array_distinct(keyed(deleted, "deleted", lambda i: F.concat(F.lit("shorter "), without(i)))),
+        keyed(own, "whole", lambda _: F.concat(F.lit("shorter "), F.array_join("words", " "))),
+    )
+    return at.select(F.explode(every).alias("v"), "place", *HASH).select("v.*", "place", *HASH)
+
+
+def earlier_lines(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(h, g, place, witness, *by): for every variant row the earliest line that it meets in ``by``, if that is before it."""
+    first = [F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"first_{r}") for r in ("replaced", "deleted", "whole")]
+    earliest = written(rows.groupBy(*by).agg(*first), "line-earliest")
+    role = F.col("role")
+    witness = F.when(role == "replaced", F.col("first_replaced")).when(role == "deleted", F.col("first_whole")).otherwise(F.col("first_deleted"))
+    return rows.join(earliest, by).select(*HASH, "place", witness.alias("witness"), *by).where("witness < place")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -94,76 +131,86 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, filter_bits: int, least_words: int) -> DataFrame:
-    """Hashes (h) of the distinct lines that have an earlier near line."""
-    keys = lines.where(F.col("n") >= least_words).select("h", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    """(h, g) of the distinct lines that have an earlier near line."""
+    keys = lines.where(F.col("n") >= least_words).select(*HASH, F.explode("halves").alias("key"))
+    shared = keys.groupBy("key").agg(F.min(F.struct(*HASH)).alias("a"), F.max(F.struct(*HASH)).alias("b")).where("a <> b").select("key")
     halves = written(collision_bitmap(shared, "key", filter_bits), "line-halves")
     candidates = written(
         mark_collisions(keys, "key", halves, filter_bits, "hit").where("hit").groupBy("h").agg(F.count(F.lit(1)).alias("c")), "line-candidates"
     )
     chosen = written(collision_bitmap(candidates, "h", filter_bits), "line-bitmap")
-    again = line_rows(docs, id_col, text_col).where(F.size("words") >= least_words)
-    again = again.withColumn("text", F.array_join("words", " ")).withColumn("h", F.xxhash64("text")).drop("words")
+    again = line_rows(docs, id_col, text_col).where(F.size("words") >= least_words).drop("words")
     again = mark_collisions(again, "h", chosen, filter_bits, "hit").where("hit")
-    distinct = again.groupBy("h").agg(F.min(F.struct("id", "line")).alias("at"), F.any_value("text").alias("text"))
-    distinct = written(distinct.select("h", "at.id", "at.line", F.split("text", " ").alias("words")), "line-texts")
+    distinct = again.groupBy(*HASH).agg(F.min(F.struct("id", "digest", "line")).alias("place"), F.any_value("text").alias("text"))
+    distinct = written(distinct.select(*HASH, "place", F.split("text", " ").alias("words")), "line-texts")
     counted = variants(distinct).groupBy("key").count().where("count > 1").select("key")
     met = written(collision_bitmap(counted, "key", filter_bits), "line-variants")
     rows = written(mark_collisions(variants(distinct), "key", met, filter_bits, "hit").where("hit").drop("hit"), "line-keys")
-    place = F.struct("id", "line")
-    earliest = written(
-        rows.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"first_{r}") for r in ("replaced", "deleted", "whole")]),
-        "line-earliest",
-    )
-    witness = F.when(F.col("role") == "replaced", F.col("first_replaced")).when(F.col("role") == "deleted", F.col("first_whole")).otherwise(F.col("first_deleted"))
-    found = rows.join(earliest, "key").select("h", witness.alias("witness"), place.alias("place")).where("witness < place")
-    found = found.select("h", "witness").distinct()
-    words = distinct.select("h", F.col("words").alias("own"))
-    first = distinct.select(F.struct("id", "line").alias("witness"), "words")
-    return written(
-        found.join(words, "h").join(first, "witness").where(within_one(F.col("own"), F.col("words"))).select("h").distinct(), "near-lines"
-    )
-
-
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, filter_bits: int = 1 << 24
+    found = earlier_lines(rows, ["key"])
+    words = distinct.select(*HASH, F.col("words").alias("own"))
+    first = distinct.select(F.col("place").alias("witness"), "words")
+    judged = found.join(words, HASH).join(first, "witness").withColumn("near", within_one(F.col("own"), F.col("words")))
+    judged = written(judged.groupBy(*HASH, "key").agg(F.bool_or("near").alias("near")), "line-meetings")
+    near = judged.where("near").select(*HASH)
+    false_keys = judged.where("NOT near").select("key").distinct()
+    if false_keys.isEmpty():
+        return written(near.distinct(), "near-lines")
+    # A chance meeting may hide a true one behind it: in these keys, lines meet by the variants themselves.
+    involved = distinct.join(rows.join(false_keys, "key", "left_semi").select(*HASH).distinct(), HASH)
+    spelled = variants(involved, spelled=True).join(false_keys, "key", "left_semi")
+    return written(near.unionByName(earlier_lines(spelled, ["variant"]).select(*HASH)).distinct(), "near-lines")
+
+
+def dropped_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, filter_bits: int | None = None
 ) -> DataFrame:
-    """(id, n_lines, dropped): one row per row id with the numbers of the lines that go, ascending, from 0.
-
-    A line goes if an earlier one (by id, then place) is equal in words, or near.  Lines without
-    words stay.  Null and the empty text are one line without words.  Rows that repeat an id
-    count as one place: equal lines at the same place don't drop each other, and the ids's
-    lines come in one row.
-    """
+    """(id, digest, n_lines, dropped, copies): ``dedup_lines`` with one row for all rows that repeat id and text."""
     rows = line_rows(docs, id_col, text_col)
     lines = written(
         rows.select(
-            "id", "line", F.size("words").alias("n"), F.xxhash64(F.array_join("words", " ")).alias("h"),
-            F.when(F.size("words") >= least_words, half_keys(F.col("words"))).alias("halves"),
+            "id", "digest", "line", F.size("words").alias("n"), *HASH, F.when(F.size("words") >= least_words, half_keys(F.col("words"))).alias("halves")
         ),
         "lines",
     )
-    near = near_lines(docs, lines, id_col, text_col, filter_bits, least_words)
+    near = near_lines(docs, lines, id_col, text_col, filter_bits or bitmap_bits(lines.count()), least_words)
     worded = lines.where("n > 0")
-    firsts = worded.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("c"))
+    place = F.struct("id", "digest", "line")
+    firsts = worded.groupBy(*HASH).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     settled = written(
-        firsts.join(near.withColumn("near", F.lit(True)), "h", "left").where("c > 1 OR near").select("h", "first", "near"), "line-groups"
+        firsts.join(near.withColumn("near", F.lit(True)), HASH, "left").where("c > 1 OR near").select(*HASH, "first", "near"), "line-groups"
     )
-    gone = worded.join(settled, "h").where(F.col("near").isNotNull() | (F.struct("id", "line") != F.col("first")))
-    gone = gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
-    counts = lines.groupBy("id").agg((F.max("line") + 1).alias("n_lines"))
-    return counts.join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select(
-        F.col("id").alias(id_col), "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
+    gone = worded.join(settled, HASH).where(F.col("near").isNotNull() | (place != F.col("first")))
+    gone = gone.groupBy(F.struct("id", "digest").alias("of")).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    counts = lines.groupBy("id", "digest").agg((F.max("line") + 1).alias("n_lines"), F.count_if(F.col("line") == 0).cast("int").alias("copies"))
+    return counts.join(gone, F.struct("id", "digest").eqNullSafe(F.col("of")), "left").select(
+        "id", "digest", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "copies"
     )
 
 
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, filter_bits: int | None = None
+) -> DataFrame:
+    """(id, n_lines, dropped): for each row of ``docs`` the numbers of the lines that go, ascending, from 0.
+
+    A line goes if an earlier one (by id, then by digest of the row's text, then by place; null ids first) is
+    equal in words, or near.  Lines without words stay.  Null and the empty text are one line without
+    words.  Rows that repeat both id and text are one place and are treated alike; rows that share only
+    the id are rows of their own.  An empty table gives an empty result.
+    """
+    found = dropped_lines(docs, id_col, text_col, least_words, filter_bits)
+    each = found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return each.select(F.col("id").alias(id_col), "n_lines", "dropped")
+
+
 def without_dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with the dropped lines taken out of the text; a text that loses nothing is unchanged."""
-    found = dedup_lines(docs, id_col, text_col, **options).select(F.col(id_col).alias("__of"), F.col("dropped").alias("__dropped"))
+    of, gone = free_name(docs, "__of"), free_name(docs, "__dropped")
+    found = dropped_lines(docs, id_col, text_col, **options).select(F.struct("id", "digest").alias(of), F.col("dropped").alias(gone))
     lines = F.split(text_or_empty(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    row = F.struct(F.col(f"`{id_col}`").alias("id"), row_digest(text_col).alias("digest"))
     return (
-        docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__of")))
-        .withColumn(text_col, F.when(F.size("__dropped") > 0, kept).otherwise(F.col(f"`{text_col}`")))
-        .drop("__of", "__dropped")
+        docs.join(found, row.eqNullSafe(F.col(of)))
+        .withColumn(text_col, F.when(F.size(gone) > 0, kept).otherwise(F.col(f"`{text_col}`")))
+        .drop(of, gone)
     )
