@@ -1,12 +1,13 @@
 """Rows that repeat, chance meetings, long texts and registered queries' digests, each against a plain computation."""
 
+import collections
 import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, registry, sentencepiece_codec
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, sentencepiece_codec
 
 
 def docs(spark, rows):
@@ -104,3 +105,65 @@ def test_queries_over_whole_tables(spark, sf_dir, name):
         for r in found:
             lines = [int(x) for x in r.dropped.split(",") if x]
             assert r.n_lines == texts[r.doc_id].count("\n") + 1 and r.n_dropped == len(lines) and lines == sorted(set(lines))
+
+
+# Mixing
+
+
+def mixed_rows(r):
+    sources = ["a", "a", "a", "b", "c", None]
+    return [(i, " ".join(f"{i}.{k}" for k in range(r.choice([0, 3, 40, 200]))), r.choice(sources)) for i in range(120)]
+
+
+@pytest.mark.parametrize("shard_slots", [7, 64])
+def test_draws_of_shards(spark, shard_slots):
+    rows = mixed_rows(random.Random(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 16, "shard_slots": shard_slots}
+    blocks = mixing.mixed_blocks(df, **options).collect()
+    taken = {r.doc_id: (r.taken, r.first_shard, r.last_shard) for r in mixing.mix(df, **options).collect()}
+    places = [(b.shard, b.slot) for b in blocks]
+    assert sorted(places) == [divmod(i, shard_slots) for i in range(len(blocks))]
+    words, shards = collections.Counter(), collections.defaultdict(set)
+    for b in blocks:
+        assert 1 <= len(b.words) <= 16
+        for w in b.words:
+            i = int(w.split(".")[0])
+            words[i] += 1
+            shards[i].add(b.shard)
+    assert {i: (n, min(shards[i]), max(shards[i])) for i, n in words.items()} == {i: t for i, t in taken.items() if t[0]}
+    # Each shard's counts are draws: near the mean, and not all alike.
+    total = collections.Counter(b.source for b in blocks)
+    counts = collections.Counter((b.shard, b.source) for b in blocks)
+    full = len(blocks) // shard_slots
+    for s, n in total.items():
+        mean = shard_slots * n / len(blocks)
+        spread = 5 * (mean * (1 - n / len(blocks))) ** 0.5 + 1
+        assert all(abs(counts[k, s] - mean) <= spread for k in range(full))
+    assert len({tuple(counts[k, s] for s in total) for k in range(full)}) > 1
+
+
+def test_shard_size_changes_the_layout(spark):
+    df = spark.createDataFrame(mixed_rows(random.Random(4)), "doc_id long, text string, source string")
+    layouts = [{(b.source, b["pass"], b.block): (b.shard * n + b.slot) for b in mixing.mixed_blocks(df, block_words=16, shard_slots=n).collect()} for n in (8, 32)]
+    assert layouts[0].keys() == layouts[1].keys() and layouts[0] != layouts[1]
+
+
+def test_mix_of_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, "a", 1)] * 3 + [(1, text, "b", 2), (1, text, None, 3), (2, text, "a", 4), (3, None, "a", 5), (3, None, "a", 5), (None, "x y", "a", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    found = mixing.mix(df, block_words=16).collect()
+    assert len(found) == len(rows)
+    want = collections.Counter()
+    for r in found:
+        want[r.doc_id] += r.taken
+    got = collections.Counter()
+    mixed = mixing.mixed_documents(df, block_words=16)
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        got[r.doc_id] += len(r.text.split())
+    assert got == want - collections.Counter()
+    again = sorted(map(tuple, mixing.mixed_documents(df.repartition(5), block_words=16).collect()), key=repr)
+    assert again == sorted(map(tuple, mixed.collect()), key=repr)
+    assert mixing.mixed_blocks(df.limit(0)).count() == 0
