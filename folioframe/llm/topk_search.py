@@ -6,10 +6,12 @@ first places carry most of every product.  A block is scored for the first place
 by Cauchy-Schwarz the rest adds at most the product of the residual lengths, and what can't
 reach a query's k-th best score so far is dropped, in several steps of more and more places.
 What is left is scored exactly in integers.  The k-th best scores start from the longest
-block, and grow as a task goes on to shorter vectors.
+block (scored by the tasks, a part of the queries each), and grow as a task goes on to shorter
+vectors; a block whose longest vector is too short for every query isn't multiplied at all.
 
-Queries go in rounds of a fixed number, each round sent to all tasks; a round keeps no more
-than k results per query and task.
+Queries go in rounds of a fixed number, each round sent to all tasks, which take them in parts:
+no more than PART queries are held against a block at once.  A round keeps no more than k
+results per query and task.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scan_partitions, written
 
 BLOCK = 2048
-#: Queries sent to the tasks at once.
-ROUND = 1 << 15
+#: Queries sent to the tasks at once, and those of them that meet a block at once.
+ROUND, PART = 1 << 15, 512
 #: Places scored before each pruning step, as parts of the dimension.
 STEPS = (0.25, 0.5)
 EXACT = float(1 << 53)
@@ -102,31 +104,45 @@ def rotation(blocks: DataFrame, dimension: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(dimension, dimension) / scale)[1][:, ::-1]
 
 
+def top_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row; the least one where a row is shorter."""
+    at = max(0, scores.shape[1] - k)
+    return np.partition(scores, at, axis=1)[:, at]
+
+
 class Search:
-    """One round's queries and the best candidates so far."""
+    """Some queries and their best candidates so far."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, turn: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.values, self.turn, self.k = ids, values, turn, k
         self.real = values.astype(np.float64)
         self.turned = self.real @ turn
+        self.length = np.linalg.norm(self.real, axis=1)
+        self.rests = [np.linalg.norm(self.turned[:, h:], axis=1) for h in self.heads()]
         self.most = float(np.abs(self.real).max(initial=0))
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
         self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query, id, score
 
+    def heads(self) -> list[int]:
+        return [h for part in STEPS if (h := int(self.values.shape[1] * part))]
+
+    def slack(self, x: np.ndarray) -> float:
+        return 1 + 1e-9 * x.shape[1] * self.most * float(np.abs(x).max(initial=0))
+
     def survivors(self, x: np.ndarray) -> np.ndarray:
         """Candidates that may reach the k-th best score of some query."""
+        slack = self.slack(x)
+        if not (self.length * np.linalg.norm(x, axis=1).max() >= self.floor - slack).any():
+            return np.zeros(0, np.int64)
         turned = x @ self.turn
         left = np.arange(len(x))
-        dimension = x.shape[1]
-        for part in STEPS:
-            h = int(dimension * part)
-            if not len(left) or not h:
-                break
+        for h, rest in zip(self.heads(), self.rests, strict=True):
             own = turned[left]
-            head = self.turned[:, :h] @ own[:, :h].T
-            rest = np.linalg.norm(self.turned[:, h:], axis=1)[:, None] * np.linalg.norm(own[:, h:], axis=1)[None, :]
-            slack = 1 + 1e-9 * dimension * self.most * np.abs(x).max(initial=0)
-            left = left[(head + rest >= self.floor[:, None] - slack).any(0)]
+            bound = self.turned[:, :h] @ own[:, :h].T
+            bound += rest[:, None] * np.linalg.norm(own[:, h:], axis=1)[None, :]
+            left = left[(bound >= self.floor[:, None] - slack).any(0)]
+            if not len(left):
+                break
         return left
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -143,9 +159,14 @@ class Search:
         if not len(left):
             return
         scores = self.scores(values[left])
-        query, at = np.nonzero((scores >= self.floor[:, None]) & (self.ids[:, None] != ids[left][None, :]))
+        own = self.ids[:, None] == ids[left][None, :]
+        if np.isneginf(self.floor).any() and len(left) > self.k:  # own rows count as least, which only lowers the floor
+            self.floor = np.maximum(self.floor, top_places(np.where(own, LONG_MIN, scores), self.k))
+        query, at = np.nonzero((scores >= self.floor[:, None]) & ~own)
+        if not len(query):
+            return
         query, found, score = (np.concatenate(x) for x in zip(self.best, (query, ids[left][at], scores[query, at]), strict=True))
-        order = np.lexsort((found, -score, query)) if score.min(initial=0) > LONG_MIN else np.lexsort((found, ~score, query))
+        order = np.lexsort((found, ~score, query))  # of longs, ~ turns the order around without a limit
         query, found, score = query[order], found[order], score[order]
         start = np.searchsorted(query, query)
         keep = np.arange(len(query)) - start < self.k
@@ -153,25 +174,59 @@ class Search:
         full = np.arange(len(query)) - start == self.k - 1
         self.floor[query[full]] = score[full]
 
+    def seed(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """A floor for each query: the k-th best score in a block, less if its own row is among it."""
+        if len(ids) <= self.k:
+            return self.floor
+        scores = np.where(self.ids[:, None] == ids[None, :], LONG_MIN, self.scores(values))
+        found = top_places(scores, self.k)
+        return np.where(found > LONG_MIN, found, -np.inf)
+
+
+def parts_of(n: int) -> list[tuple[int, int]]:
+    return [(at, min(at + PART, n)) for at in range(0, n, PART)]
+
+
+def seeded_floors(blocks: DataFrame, sent: Broadcast, n: int, k: int) -> np.ndarray:
+    """The floors that the longest block gives to ``n`` queries; each task takes parts of the queries."""
+    spark = blocks.sparkSession
+    parts = spark.createDataFrame(parts_of(n), "a long, b long").repartition(min(len(parts_of(n)), scan_partitions(spark)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, values, turn, longest = sent.value
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                floor = Search(ids[a:b], values[a:b], turn, k).seed(*longest)
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([np.asarray(floor, np.float64).tobytes()])], ["a", "floor"])
+
+    floors = np.full(n, -np.inf)
+    for row in parts.mapInArrow(run, "a long, floor binary").toLocalIterator():  # eight bytes for each query of the round
+        found = np.frombuffer(row["floor"], np.float64)
+        floors[row["a"] : row["a"] + len(found)] = found
+    return floors
+
 
 def search_round(blocks: DataFrame, longest: tuple[np.ndarray, np.ndarray], ids: np.ndarray, values: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
     """(round's query number, query_id, vec_id, score) from all blocks, at most k per query and task."""
-    seed = Search(ids, values, turn, k)
-    seed.add(*longest)
-    sent = blocks.sparkSession.sparkContext.broadcast((ids, values, turn, seed.floor))
-    dimension = values.shape[1]
+    context = blocks.sparkSession.sparkContext
+    sent = context.broadcast((ids, values, turn, longest))
+    floors = context.broadcast(seeded_floors(blocks, sent, len(ids), k))
+    dimension, parts = values.shape[1], parts_of(len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own_values, own_turn, floor = sent.value
-        state = Search(own_ids, own_values, own_turn, k)
-        state.floor = floor.copy()
+        own_ids, own_values, own_turn, _ = sent.value
+        states = [Search(own_ids[a:b], own_values[a:b], own_turn, k, floors.value[a:b]) for a, b in parts]
         for batch in batches:
             for i in range(batch.num_rows):
-                state.add(*unpacked(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), dimension))
-        query, found, score = state.best
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query), pa.array(own_ids[query]), pa.array(found), pa.array(score)], ["number", "query_id", "vec_id", "score"]
-        )
+                block = unpacked(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), dimension)
+                for state in states:
+                    state.add(*block)
+        for (at, _), state in zip(parts, states, strict=True):
+            query, found, score = state.best
+            if len(query):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query + at), pa.array(state.ids[query]), pa.array(found), pa.array(score)], ["number", "query_id", "vec_id", "score"]
+                )
 
     return blocks.select("ids", "values").mapInArrow(run, "number long, query_id long, vec_id long, score long")
 

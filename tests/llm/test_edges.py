@@ -4,10 +4,11 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, mixing, registry, sentencepiece_codec
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, sentencepiece_codec, topk_search
 
 
 def docs(spark, rows):
@@ -167,3 +168,38 @@ def test_mix_of_repeated_rows(spark):
     again = sorted(map(tuple, mixing.mixed_documents(df.repartition(5), block_words=16).collect()), key=repr)
     assert again == sorted(map(tuple, mixed.collect()), key=repr)
     assert mixing.mixed_blocks(df.limit(0)).count() == 0
+
+
+# Top-k
+
+
+def test_topk_parts_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "PART", 3)
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    values = r.integers(-3, 4, size=(120, 6)).astype(float)
+    values[40:80] = values[40]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)] + [(7, [9.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(1))
+    found = topk_search.top_k(df, df.where("vec_id % 10 = 0"), k=5, scale=1)
+    want = []
+    for q, a in rows:
+        if q % 10 == 0:
+            scores = sorted((-int(np.dot(a, b)), i) for i, b in rows if i != q)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_topk_of_many_queries_in_bounded_memory():
+    import resource
+
+    r = np.random.default_rng(6)
+    values = r.integers(-1000, 1000, size=(8192, 64))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = np.arange(len(values))
+    for a, b in topk_search.parts_of(len(values)):
+        state = topk_search.Search(ids[a:b], values[a:b], np.eye(64), 10)
+        state.floor = state.seed(ids[:2048], values[:2048]).astype(float)
+        state.add(ids[:2048], values[:2048])
+        assert np.bincount(state.best[0], minlength=b - a).min() == 10
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
