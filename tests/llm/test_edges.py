@@ -1,14 +1,22 @@
 """Rows that repeat, chance meetings, long texts and registered queries' digests, each against a plain computation."""
 
+import base64
+import bz2
 import collections
+import gzip
 import hashlib
+import lzma
 import random
+import re
+import time
+import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, mixing, registry, sentencepiece_codec, topk_search
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, topk_search
 
 
 def docs(spark, rows):
@@ -68,8 +76,6 @@ def test_lines_that_meet_by_chance(spark, monkeypatch):
 
 
 def test_long_word_takes_linear_time():
-    import time
-
     import sentencepiece
 
     path = registry.piece_model()
@@ -203,3 +209,82 @@ def test_topk_of_many_queries_in_bounded_memory():
         state.add(ids[:2048], values[:2048])
         assert np.bincount(state.best[0], minlength=b - a).min() == 10
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+# Secrets
+
+SECRET = "password = hunter2hunter2"
+
+
+def kinds(text):
+    return [(secrets.KINDS[k], a, b, base) for a, b, k, base in secrets.scan(text)]
+
+
+def plain_base(text):
+    """The base rules written out: scan on, kind by kind, without the operator's patterns."""
+    found = []
+    name = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    found += [(m.start(), 0, m.end()) for m in name.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets_query_against_plain_rules(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = registry.op10_secrets(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        base = plain_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        told = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        every = [x for x in r.spans.split(",") if x]
+        assert set(told) <= set(every) and len(every) == len(set(every))
+
+
+@pytest.mark.parametrize("codec", ["utf-16-le", "utf-16-be"])
+def test_secrets_in_utf16(codec):
+    inner = f"é {SECRET} 😀 end"
+    text = f"é {base64.b64encode(inner.encode(codec)).decode()} z"
+    (a, b), = [(a, b) for k, a, b, base in kinds(text) if k == "assign" and not base]
+    assert 2 <= a < b <= len(text) - 2
+    packed = base64.b64encode(gzip.compress(inner.encode(codec))).decode()
+    assert ("assign", 2, 2 + len(packed), False) in kinds(f"é {packed} z")
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secrets_in_escaped_streams(pack):
+    data = pack((SECRET + " " + random.Random(2).randbytes(40).hex()).encode())
+    for spelled in (urllib.parse.quote_from_bytes(data, safe=""), "".join(f"%{x:02x}" for x in data), "".join(f"\\x{x:02x}" for x in data), repr(data)):
+        found = kinds(f"before é {spelled} after")
+        assert {"assign", "hex"} <= {k for k, _, _, base in found if not base}, spelled
+        assert all(9 <= a < b <= 9 + len(spelled) for _, a, b, _ in found)
+
+
+def test_secrets_glued_to_a_path():
+    inner = base64.b64encode(SECRET.encode()).decode()
+    for before in ("", "a/", "ab/", "abc-", "abcd_", "x/yz/"):
+        assert any(k == "assign" and not base for k, *_, base in kinds(f"see {before}{inner} there")), before
+
+
+def test_long_layers_take_linear_time():
+    """Ten million digits of base64 with many places to start from, chains of escaped escapes, long wrapped base64."""
+    r = random.Random(3)
+    junk = base64.b64encode(r.randbytes(7_500_000)).decode()
+    began = time.time()
+    kinds(junk)
+    assert time.time() - began < 60
+    text = base64.b64encode((SECRET + " " + "gh ijk " * 1_000_000 + SECRET).encode()).decode()
+    began = time.time()
+    assert [k for k, *_ in kinds(text)] == ["assign", "assign"]
+    assert time.time() - began < 90
+    for chain in ("%" + "25" * 200_000 + "41", "\\" + "u005c" * 100_000 + "u0041"):
+        began = time.time()
+        kinds(f"token%3D{chain}bcdefgh")
+        assert time.time() - began < 20
+
+
+def test_secrets_behind_chains():
+    for spelled in ("password%25252525253Dhunter2hunter2", "password\\u005cu005cu003dhunter2hunter2", "password\\x5cx3dhunter2hunter2"):
+        assert ("assign", 0, len(spelled), False) in kinds(spelled)
