@@ -58,9 +58,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the 400-byte strings that stand elsewhere too."""
+    """Every document without the 400-byte strings that stand elsewhere too; n_kept is what is left of its bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).drop("spans")
+    return substring_dedup.remove_repeats(docs).drop("spans").withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def piece_model() -> str:

@@ -9,15 +9,18 @@ equals); equal strings have their anchors at the same offset.  Neighbouring stri
 anchor, and all strings of one anchor together are its context.
 
   1. Grams of all anchors are counted; those that occur once settle their strings.
-  2. Contexts of the others are counted by a 128-bit hash; equal contexts settle all strings in them.
-  3. Where a gram still has several contexts, the suffixes that start at its anchors are
-     sorted by merging.  Two suffixes are compared by prefix polynomial hashes: binary search
-     finds their common extension, and the byte behind it decides.  Common extensions of
-     neighbours split the order into runs; within a run, equal hashes of what stands left of the
-     anchor give equal strings, and these are verified byte by byte.
-
-Grams with very many contexts are not gathered in a task: their strings are counted one by one
-by 128-bit hash.  What passes between stages are hashes and, for stage 3, each different context once.
+  2. Contexts of the others are counted by SHA-256 (its first 128 bits); equal contexts settle all
+     strings in them.
+  3. Where a gram still has several contexts, each different one is cut from one of its documents,
+     and the suffixes that start at its anchors are sorted by merging.  Two suffixes are compared by
+     prefix polynomial hashes: binary search finds their common extension, and the byte behind it
+     decides.  Common extensions of neighbours split the order into runs; within a run, equal hashes
+     of what stands left of the anchor give equal strings, and these are verified byte by byte.
+
+A gram with very many contexts is split before it is sorted: strings that begin ``lo`` to ``hi`` bytes
+before the anchor agree, if they are equal, in the bytes that all of these places share, so contexts are
+parted by those bytes, for narrower and narrower ranges.  A range of one place leaves strings that are
+equal or not, and these are grouped by their bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scan_partitions, text_or_empty, written
-from .exact_dedup import BUCKET_BITS, collision_bitmap, mark_collisions
+from .exact_dedup import BUCKET_BITS, bitmap_bits, collision_bitmap, mark_collisions
 
 GRAM = 200
 #: Odd, so that it has an inverse modulo 2 ** 64.
@@ -42,8 +46,10 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at once: short documents together, long ones in stretches that overlap.
 STRETCH = 1 << 18
-#: Contexts of one gram beyond which its strings are counted instead of sorted.
-MOST_CONTEXTS = 4096
+#: Contexts that are sorted together; what has more is split, into this many ranges of places at once.
+MOST_CONTEXTS, SPLIT = 4096, 4
+#: How much larger the bitmaps are than those for keys of all rows; the keys here are few of many.
+KEY_SHARE = 8
 WORD = np.uint64
 
 
@@ -132,7 +138,7 @@ def stretches(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarr
 
 
 def sent_bitmap(keys: DataFrame, key: str, filter_bits: int) -> Broadcast:
-    """A bitmap of fixed size of the values of ``key``, for numpy on the tasks."""
+    """A bitmap of ``filter_bits`` of the values of ``key``, for numpy on the tasks."""
     bits = np.zeros(-(-filter_bits // BUCKET_BITS) * BUCKET_BITS // 8, np.uint8)
     for row in collision_bitmap(keys, key, filter_bits).toLocalIterator():
         at = row["bucket"] * BUCKET_BITS // 8
@@ -140,44 +146,76 @@ def sent_bitmap(keys: DataFrame, key: str, filter_bits: int) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def anchor_rows(docs: DataFrame, length: int, what: str, wanted: Broadcast | None = None, filter_bits: int = 1) -> DataFrame:
-    """Anchors of ``docs`` (id, digest, text as binary); with ``wanted`` only those whose gram's bit is on.
+def digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of each piece's SHA-256, as two longs."""
+    found = np.frombuffer(b"".join(hashlib.sha256(p).digest()[:16] for p in pieces), ">i8").astype(np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
 
-    ``what`` is "grams": (gram); "contexts": (id, digest, gram, first, strings, c1, c2), the context's hash in two
-    longs; "bytes": (gram, c1, c2, at, strings, context), at being the anchor's offset in the context.
+
+def anchor_grams(docs: DataFrame, length: int) -> DataFrame:
+    """(gram) of every anchor of ``docs`` (id, digest, text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, ends, _, _ in stretches(batch.column(0).to_pylist(), length):
+                gram = anchors(np.frombuffer(data, np.uint8), ends, length)[3]
+                yield pa.RecordBatch.from_arrays([pa.array(gram)], ["gram"])
+
+    return docs.select("text").mapInArrow(run, "gram long")
+
+
+def anchor_contexts(docs: DataFrame, length: int, wanted: Broadcast, filter_bits: int) -> DataFrame:
+    """(id, digest, gram, first, at, strings, c1, c2) of the anchors whose gram's bit is on.
+
+    The context begins at byte ``first`` and holds ``strings`` strings, its anchor stands ``at`` bytes in, and
+    c1, c2 tell its bytes.
     """
-    schemas = {
-        "grams": "gram long",
-        "contexts": f"id {docs.schema['id'].dataType.simpleString()}, digest long, gram long, first long, strings long, c1 long, c2 long",
-        "bytes": "gram long, c1 long, c2 long, at long, strings long, context binary",
-    }
-    names = [f.split()[0] for f in schemas[what].split(", ")]
+    id_type = docs.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, digest long, gram long, first long, at long, strings long, c1 long, c2 long"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for data, ends, which, offsets in stretches(texts, length):
+            for data, ends, which, offsets in stretches(batch.column(2).to_pylist(), length):
                 first, last, place, gram = anchors(np.frombuffer(data, np.uint8), ends, length)
-                if what == "grams":
-                    yield pa.RecordBatch.from_arrays([pa.array(gram)], names)
-                    continue
-                if wanted is not None:
-                    keep = np.flatnonzero(wanted.value[(slot := gram % filter_bits) >> 3] >> (slot & 7) & 1)
-                    first, last, place, gram = first[keep], last[keep], place[keep], gram[keep]
+                keep = np.flatnonzero(wanted.value[(slot := gram % filter_bits) >> 3] >> (slot & 7) & 1)
+                first, last, place, gram = first[keep], last[keep], place[keep], gram[keep]
                 part = np.searchsorted(ends, first, side="right")
                 begin = first - np.r_[0, ends[:-1]][part] + offsets[part]
-                pieces = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in pieces), ">i8").astype(np.int64).reshape(-1, 2)
-                common = [pa.array(gram), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())]
-                if what == "contexts":
-                    doc = pa.array(which[part])
-                    ids, digests = (pa.array(batch.column(k)).take(doc) for k in (0, 1))
-                    columns = [ids, digests, common[0], pa.array(begin), pa.array(last - first + 1), *common[1:]]
-                else:
-                    columns = [*common, pa.array(place - first), pa.array(last - first + 1), pa.array(pieces, pa.binary())]
+                c1, c2 = digests([data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                doc = pa.array(which[part])
+                ids, rows = (pa.array(batch.column(k)).take(doc) for k in (0, 1))
+                columns = [ids, rows, *map(pa.array, (gram, begin, place - first, last - first + 1, c1, c2))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("id", "digest", "text").mapInArrow(run, schemas[what])
+    return docs.select("id", "digest", "text").mapInArrow(run, schema)
+
+
+def context_bytes(docs: DataFrame, chosen: DataFrame, length: int, filter_bits: int) -> DataFrame:
+    """(part, lo, hi, c1, c2, at, strings, context) of the contexts ``chosen`` (gram, c1, c2, id, digest, first, at, strings).
+
+    Each is cut from its document; only texts of documents that hold a chosen one are shuffled.  A document whose row
+    repeats gives its contexts as often.
+    """
+    held = F.collect_list(F.struct("gram", "c1", "c2", "first", "at", "strings"))
+    by_row = written(chosen.groupBy(F.struct("id", "digest").alias("of")).agg(held.alias("held")), "chosen-contexts")
+    key = F.xxhash64("id", "digest")
+    touched = collision_bitmap(by_row.select(F.xxhash64("of.id", "of.digest").alias("key")), "key", filter_bits)
+    able = mark_collisions(docs.withColumn("key", key), "key", touched, filter_bits, "hit").where("hit").drop("key", "hit")
+    schema = "part long, lo long, hi long, c1 long, c2 long, at long, strings long, context binary"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text, own = batch.column(0)[row].as_py(), pa.array(batch.column(1)[row].values)
+                gram, c1, c2, first, at, strings = own.flatten()
+                pieces = [text[a : a + n - 1 + length] for a, n in zip(first.to_pylist(), strings.to_pylist(), strict=True)]
+                ranges = [pa.array(np.full(len(pieces), x, np.int64)) for x in (0, length - GRAM)]
+                yield pa.RecordBatch.from_arrays([gram, *ranges, c1, c2, at, strings, pa.array(pieces, pa.binary())], names)
+
+    joined = able.join(by_row, F.struct("id", "digest").eqNullSafe(F.col("of"))).select("text", "held")
+    return written(joined.mapInArrow(run, schema), "contexts")
 
 
 class Suffixes:
@@ -246,18 +284,24 @@ class Suffixes:
         return order
 
 
-def repeated_strings(gram: np.ndarray, at: np.ndarray, strings: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, start in it) of every string of ``length`` bytes that stands in two of the contexts, which lie in order of gram."""
+def repeated_strings(
+    part: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, strings: np.ndarray, contexts: list[bytes], length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start in it) of every string of ``length`` bytes that stands in two of the contexts, which lie in order of part.
+
+    Of a context only the strings count that begin ``lo`` to ``hi`` bytes before its anchor.
+    """
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
     suffixes = Suffixes(b"".join(contexts))
-    order = suffixes.merge_sorted(begin + at, begin + sizes, gram)
-    g, place, first, end, count = gram[order], (begin + at)[order], begin[order], (begin + sizes)[order], strings[order]
+    order = suffixes.merge_sorted(begin + at, begin + sizes, part)
+    g, place, first, end, count = part[order], (begin + at)[order], begin[order], (begin + sizes)[order], strings[order]
+    low, high = lo[order], hi[order]
     most = np.minimum(end[1:] - place[1:], end[:-1] - place[:-1])
     extension = np.where(g[1:] == g[:-1], suffixes.common(place[:-1], place[1:], most), -1)
     found, starts = [], []
     for left in range(length - GRAM + 1):  # bytes of the string before its anchor
-        able = np.flatnonzero((place - left >= first) & (place - left < first + count))
+        able = np.flatnonzero((place - left >= first) & (place - left < first + count) & (low <= left) & (left <= high))
         if len(able) < 2:
             continue
         run = np.cumsum(np.r_[True, extension < length - left])[able]
@@ -286,63 +330,95 @@ def repeated_strings(gram: np.ndarray, at: np.ndarray, strings: np.ndarray, cont
 
 
 def sorted_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, start): repeated strings of the contexts, by sorting the suffixes of each gram."""
+    """(c1, c2, start): repeated strings of the contexts, by sorting the suffixes of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            gram = table.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
-            held = table.slice(cut).to_batches()  # the last gram may go on
+            part = table.column("part").to_numpy()
+            cut = int(np.searchsorted(part, part[-1])) if len(part) else 0
+            held = table.slice(cut).to_batches()  # the last part may go on
             if cut:
                 yield from found(table.slice(0, cut))
         if held:
             yield from found(pa.Table.from_batches(held))
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, at, strings = (table.column(c).to_numpy() for c in ("gram", "at", "strings"))
-        which, start = repeated_strings(gram, at, strings, table.column("context").to_pylist(), length)
-        c1, c2 = (table.column(c).to_numpy()[which] for c in ("c1", "c2"))
-        yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(start)], ["c1", "c2", "start"])
-
-    dealt = contexts.repartition(scan_partitions(contexts.sparkSession), "gram").sortWithinPartitions("gram")
+        same = [table.column(c).to_numpy() for c in ("part", "c1", "c2")]
+        new = np.r_[True, np.any([x[1:] != x[:-1] for x in same], axis=0)]  # a context counts once
+        table = table.filter(pa.array(new))
+        part, lo, hi, at, strings, c1, c2 = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "at", "strings", "c1", "c2"))
+        which, start = repeated_strings(part, lo, hi, at, strings, table.column("context").to_pylist(), length)
+        yield pa.RecordBatch.from_arrays([pa.array(c1[which]), pa.array(c2[which]), pa.array(start)], ["c1", "c2", "start"])
+
+    dealt = contexts.repartition(scan_partitions(contexts.sparkSession), "part").sortWithinPartitions("part", "c1", "c2")
     return dealt.mapInArrow(run, "c1 long, c2 long, start long")
 
 
-def counted_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, start): the same for grams with very many contexts, by counting the hash of each string."""
+def split_parts(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts in parts for narrower ranges of places, each told by the bytes that strings from these places share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                c1, c2, n, context = (batch.column(c)[i].as_py() for c in ("c1", "c2", "strings", "context"))
-                hashes = b"".join(xxhash.xxh3_128_digest(context[s : s + length]) for s in range(n))
-                pair = np.frombuffer(hashes, ">i8").astype(np.int64).reshape(-1, 2)
-                columns = [np.full(n, c1), np.full(n, c2), np.arange(n), pair[:, 0].copy(), pair[:, 1].copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c1", "c2", "start", "s1", "s2"])
-
-    rows = contexts.mapInArrow(run, "c1 long, c2 long, start long, s1 long, s2 long")
-    several = written(rows.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "repeated-strings")
-    return rows.join(several, ["s1", "s2"]).select("c1", "c2", "start")
-
-
-def repeated_spans(docs: DataFrame, length: int, filter_bits: int) -> DataFrame:
+            rows, parts, lows, highs = [], [], [], []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lo", "hi", "at", "strings", "context"))
+            for row, (lo, hi, at, strings, context) in enumerate(zip(*columns, strict=True)):
+                bounds = [lo + (hi - lo + 1) * j // SPLIT for j in range(SPLIT + 1)]
+                for low, above in zip(bounds, bounds[1:]):
+                    high = above - 1
+                    if low > high or low > at or high < at - strings + 1:
+                        continue
+                    shared = xxhash.xxh3_64_intdigest(context[at - low : at - high + length], seed=low * length + high)
+                    rows.append(row)
+                    parts.append(shared - (1 << 64) if shared >> 63 else shared)
+                    lows.append(low)
+                    highs.append(high)
+            others = [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows, pa.int64())) for c in ("c1", "c2", "at", "strings", "context")]
+            ranges = [pa.array(x, pa.int64()) for x in (parts, lows, highs)]
+            yield pa.RecordBatch.from_arrays([*ranges, *others], ["part", "lo", "hi", "c1", "c2", "at", "strings", "context"])
+
+    return contexts.select("part", "lo", "hi", "c1", "c2", "at", "strings", "context").mapInArrow(run, contexts.schema)
+
+
+def grouped_strings(contexts: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, start): the same for ranges of one place, whose strings are grouped by their bytes."""
+    start = F.col("at") - F.col("lo")
+    rows = contexts.select("c1", "c2", start.alias("start"), F.expr(f"substring(context, CAST(at - lo AS INT) + 1, {length})").alias("string"))
+    one = F.struct("c1", "c2")
+    several = rows.groupBy("string").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("string")
+    return rows.join(written(several, "repeated-strings"), "string").select("c1", "c2", "start")
+
+
+def strings_of_contexts(contexts: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, start): all strings that stand in several of the contexts; parts with too many are split and split again."""
+    found = []
+    while True:
+        single = contexts.where("lo = hi")
+        sizes = contexts.where("lo < hi").groupBy("part").count()
+        large = written(sizes.where(F.col("count") > MOST_CONTEXTS).select("part"), "large-parts")
+        found.append(sorted_strings(contexts.where("lo < hi").join(large, "part", "left_anti"), length))
+        if found[1:]:  # the first ranges are wide
+            found.append(grouped_strings(single, length))
+        if large.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        contexts = written(split_parts(contexts.join(large, "part", "left_semi").where("lo < hi"), length), "split-contexts")
+
+
+def repeated_spans(docs: DataFrame, length: int, filter_bits: int | None) -> DataFrame:
     """(id, digest, spans): for rows with repeats, spans (start, end) of bytes to remove, overlapping and in no order."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
-    grams = anchor_rows(docs, length, "grams").groupBy("gram").count().where("count > 1")
-    rows = written(anchor_rows(docs, length, "contexts", sent_bitmap(grams, "gram", filter_bits), filter_bits), "anchors")
+    grams = written(anchor_grams(docs, length).groupBy("gram").count().where("count > 1").select("gram"), "repeated-grams")
+    bits = filter_bits or bitmap_bits(KEY_SHARE * grams.count())
+    rows = written(anchor_contexts(docs, length, sent_bitmap(grams, "gram", bits), bits), "anchors")
     kinds = written(rows.groupBy("gram", "c1", "c2").count(), "context-kinds")
     # Grams with several contexts, one of which at least occurs once.
     mixed_grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("count").alias("least")).where("kinds > 1 AND least = 1")
-    mixed_grams = written(mixed_grams.select("gram", "kinds"), "mixed-grams")
-    texts = anchor_rows(docs, length, "bytes", sent_bitmap(mixed_grams, "gram", filter_bits), filter_bits)
-    texts = written(texts.groupBy("gram", "c1", "c2", "at", "strings").agg(F.any_value("context").alias("context")), "contexts")
-    texts = texts.join(mixed_grams, "gram")
-    found = sorted_strings(texts.where(F.col("kinds") <= MOST_CONTEXTS).drop("kinds"), length).unionByName(
-        counted_strings(texts.where(F.col("kinds") > MOST_CONTEXTS).drop("kinds"), length)
-    )
+    mixed_grams = written(mixed_grams.select("gram"), "mixed-grams")
+    where = F.min(F.struct("id", "digest", "first", "at", "strings"))
+    chosen = rows.join(mixed_grams, "gram", "left_semi").groupBy("gram", "c1", "c2").agg(where.alias("w")).select("gram", "c1", "c2", "w.*")
+    found = strings_of_contexts(context_bytes(docs, chosen, length, bits), length)
     starts = written(found.groupBy("c1", "c2").agg(F.collect_set("start").alias("starts")), "string-starts")
     whole = kinds.where("count > 1").select("c1", "c2", F.lit(True).alias("whole"))
     settled = written(whole.join(starts, ["c1", "c2"], "full"), "settled-contexts")
@@ -365,7 +441,7 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, filter_bits: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, filter_bits: int | None = None
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``.
 
@@ -376,8 +452,9 @@ def remove_repeats(
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
     spans = written(repeated_spans(rows, length, filter_bits), "repeated-spans")
-    touched = written(collision_bitmap(spans.select(F.xxhash64("id", "digest").alias("key")), "key", filter_bits), "touched")
-    marked = mark_collisions(rows.withColumn("key", F.xxhash64("id", "digest")), "key", touched, filter_bits, "hit").drop("key")
+    bits = filter_bits or bitmap_bits(KEY_SHARE * spans.count())
+    touched = written(collision_bitmap(spans.select(F.xxhash64("id", "digest").alias("key")), "key", bits), "touched")
+    marked = mark_collisions(rows.withColumn("key", F.xxhash64("id", "digest")), "key", touched, bits, "hit").drop("key")
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     none = F.array().cast("array<struct<start:long,end:long>>")
     untouched = marked.where("NOT hit").select(

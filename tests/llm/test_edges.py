@@ -14,9 +14,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, topk_search
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, substring_dedup, topk_search
 
 
 def docs(spark, rows):
@@ -288,3 +289,41 @@ def test_long_layers_take_linear_time():
 def test_secrets_behind_chains():
     for spelled in ("password%25252525253Dhunter2hunter2", "password\\u005cu005cu003dhunter2hunter2", "password\\x5cx3dhunter2hunter2"):
         assert ("assign", 0, len(spelled), False) in kinds(spelled)
+
+
+# Substring dedup
+
+
+def plain_removed(texts, n=400):
+    """For each text: bytes, bytes removed, runs removed, digest of the rest."""
+    seen = collections.Counter()
+    for t in texts:
+        seen.update(xxhash.xxh3_128_intdigest(t[i : i + n]) for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
+        mark = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if seen[xxhash.xxh3_128_intdigest(t[i : i + n])] > 1:
+                mark[i : i + n] = b"\1" * n
+        kept = bytes(x for x, m in zip(t, mark) if not m)
+        out.append((len(t), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest(), len(kept)))
+    return out
+
+
+def test_substring_query_against_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    want = plain_removed([(r.text or "").encode() for r in rows])
+    found = registry.op6_substring_dedup(spark, sf_dir).orderBy("doc_id").collect()
+    assert [(r.doc_id, *w) for r, w in zip(rows, want)] == [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_kept) for r in found]
+    assert any(w[1] for w in want)
+
+
+def test_gram_of_ten_thousand_contexts(spark):
+    r = random.Random(9)
+    common = r.randbytes(150).hex()
+    heads, tails = ([r.randbytes(90).hex() for _ in range(40)] for _ in range(2))
+    rows = [(i, r.choice([heads[i % 40], r.randbytes(90).hex()]) + common + r.choice([tails[i % 37], r.randbytes(90).hex()])) for i in range(10_000)]
+    want = plain_removed([t.encode() for _, t in rows])
+    found = substring_dedup.remove_repeats(docs(spark, rows)).orderBy("doc_id").collect()
+    assert [w[:4] for w in want] == [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found]
+    assert 0 < sum(w[1] > 0 for w in want) < len(want)
