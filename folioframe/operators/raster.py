@@ -1,24 +1,39 @@
-"""Symbols in page rasters: black-line masks, template matching, suppression of overlaps; numpy, one page at a time."""
+"""Symbols in page rasters: black-line masks, template correlation, suppression of overlaps; numpy, one page at a time.
+
+A library of templates is spread out once into its variants (every turn and scale).  A page's sums over
+windows come from integral images and its products with a variant from a Fourier transform, so the work for
+a variant grows with the page, not with page times template.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Darkness and colour of a black line, least correlation, most overlap, turns and sizes that are tried.
 BLACK, CHROMA, THRESHOLD, OVERLAP = 120, 40, 0.7, 0.3
 ROTATIONS = (0, 90, 180, 270)
-SCALES = (0.7, 0.8, 0.9, 1.0, 1.1, 1.2)
+SCALES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5)
+LEAST_SIDE = 4
 
 
 def black_mask(image: np.ndarray) -> np.ndarray:
-    """255 where a pixel is dark and without colour, else 0."""
-    values = image.astype(np.int16)
-    brightest = values.max(axis=2)
-    return np.where((brightest < BLACK) & (brightest - values.min(axis=2) < CHROMA), 255, 0).astype(np.uint8)
+    """255 where a pixel is dark and without colour, else 0; pixels have three channels of eight bits."""
+    dark = (image < BLACK).all(axis=-1)
+    grey = np.ptp(image, axis=-1) < CHROMA
+    return np.uint8(255) * (dark & grey)
+
+
+def crop_template(image: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    """The mask of a box (x0, y0, x1, y1) of a page, as a template; what lies off the page is left out."""
+    x0, y0, x1, y1 = (max(0, int(v)) for v in box)
+    return black_mask(image[y0:y1, x0:x1])
 
 
 def rotated(template: np.ndarray, degrees: int) -> np.ndarray:
@@ -36,18 +51,48 @@ def resized(template: np.ndarray, scale: float) -> np.ndarray:
         cover = np.minimum(edges[1:, None], np.arange(1, old + 1)) - np.maximum(edges[:-1, None], np.arange(old))
         return np.clip(cover, 0, None) / (old / new)
 
-    h, w = (max(4, int(n * scale)) for n in template.shape)
+    h, w = (max(LEAST_SIDE, int(n * scale)) for n in template.shape)
     return weights(template.shape[0], h) @ template.astype(float) @ weights(template.shape[1], w).T
 
 
-def responses(page: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised correlation at every place; 0 where either side is flat."""
-    t = template - template.mean()
-    windows = sliding_window_view(page.astype(float), template.shape)
-    mean = windows.mean(axis=(2, 3))
-    energy = (windows**2).sum(axis=(2, 3)) - template.size * mean**2
-    scale = np.sqrt(np.maximum(energy, 0) * (t**2).sum())
-    return np.divide(np.einsum("yxij,ij->yx", windows, t), scale, out=np.zeros_like(mean), where=scale > 1e-9)
+@dataclass(frozen=True)
+class Variant:
+    """A template as it may stand on a page, around its mean."""
+
+    kind: str
+    degrees: int
+    pixels: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.pixels.shape
+
+
+def variants(templates: dict[str, np.ndarray]) -> list[Variant]:
+    """All turns and sizes of all templates."""
+    found = ((kind, degrees, resized(rotated(own, degrees), scale)) for (kind, own), degrees, scale in product(templates.items(), ROTATIONS, SCALES))
+    return [Variant(kind, degrees, own - own.mean()) for kind, degrees, own in found]
+
+
+class Page:
+    """A mask with what its windows need: integral images and the transform."""
+
+    def __init__(self, mask: np.ndarray):
+        self.mask = mask.astype(float)
+        self.shape = mask.shape
+        self.sums, self.squares = (np.pad(m.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for m in (self.mask, self.mask**2))
+        self.transform = np.fft.rfft2(self.mask)
+
+    def windows(self, integral: np.ndarray, h: int, w: int) -> np.ndarray:
+        return integral[h:, w:] - integral[:-h, w:] - integral[h:, :-w] + integral[:-h, :-w]
+
+    def responses(self, variant: Variant) -> np.ndarray:
+        """Normalised correlation at every place; 0 where either side is flat."""
+        h, w = variant.shape
+        energy = self.windows(self.squares, h, w) - self.windows(self.sums, h, w) ** 2 / (h * w)
+        scale = np.sqrt(np.maximum(energy, 0) * (variant.pixels**2).sum())
+        turned = np.fft.irfft2(self.transform * np.conj(np.fft.rfft2(variant.pixels, self.shape)), self.shape)
+        return np.divide(turned[: energy.shape[0], : energy.shape[1]], scale, out=np.zeros_like(energy), where=scale > 1e-3)
 
 
 def suppressed(boxes: np.ndarray, scores: np.ndarray, most: float = OVERLAP) -> list[int]:
@@ -63,21 +108,22 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, most: float = OVERLAP) ->
     return kept
 
 
-def symbols(page: np.ndarray, templates: dict[str, np.ndarray], threshold: float = THRESHOLD) -> list[tuple[str, int, float, tuple[int, int, int, int]]]:
+Hit = tuple[str, int, float, tuple[int, int, int, int]]
+
+
+def symbols(mask: np.ndarray, templates: dict[str, np.ndarray] | list[Variant], threshold: float = THRESHOLD) -> list[Hit]:
     """(kind, rotation, score, box) of all templates in all rotations and scales, best first; overlaps are settled over all templates."""
-    found = []
-    for kind, template in templates.items():
-        for degrees in ROTATIONS:
-            for scale in SCALES:
-                own = resized(rotated(template, degrees), scale)
-                if own.shape[0] > page.shape[0] or own.shape[1] > page.shape[1]:
-                    continue
-                answer = responses(page, own)
-                for y, x in zip(*np.nonzero(answer >= threshold), strict=True):
-                    found.append((kind, degrees, float(answer[y, x]), (int(x), int(y), int(x + own.shape[1]), int(y + own.shape[0]))))
-    if not found:
-        return []
-    return [found[i] for i in suppressed(np.array([f[3] for f in found]), np.array([f[2] for f in found]))]
+    library = variants(templates) if isinstance(templates, dict) else templates
+    page = Page(mask)
+    able = [v for v in library if v.shape[0] <= page.shape[0] and v.shape[1] <= page.shape[1]]
+    places = []
+    for number, variant in enumerate(able):
+        answer = page.responses(variant)
+        y, x = np.nonzero(answer >= threshold)
+        places.append(np.column_stack([np.full(len(y), number), x, y, x + variant.shape[1], y + variant.shape[0], answer[y, x]]))
+    every = np.concatenate(places) if places else np.zeros((0, 6))
+    best = every[suppressed(every[:, 1:5], every[:, 5])]
+    return [(able[int(n)].kind, able[int(n)].degrees, float(score), tuple(int(v) for v in box)) for n, *box, score in best]
 
 
 def detect(pages: DataFrame, templates: dict[str, np.ndarray]) -> DataFrame:
@@ -87,11 +133,17 @@ def detect(pages: DataFrame, templates: dict[str, np.ndarray]) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        library = variants(templates)
         for batch in batches:
             rows = []
             for p in batch.itertuples():
                 mask = black_mask(np.frombuffer(p.rgb, np.uint8).reshape(p.height, p.width, 3))
-                rows += [(p.source, p.page, kind, turn, score, *box) for kind, turn, score, box in symbols(mask, templates)]
+                rows += [(p.source, p.page, kind, turn, score, *box) for kind, turn, score, box in symbols(mask, library)]
             yield pd.DataFrame(rows, columns=["source", "page", "kind", "rotation", "score", "x0", "y0", "x1", "y1"])
 
     return pages.mapInPandas(run, "source string, page int, kind string, rotation int, score double, x0 int, y0 int, x1 int, y1 int")
+
+
+def symbol_counts(hits: DataFrame) -> DataFrame:
+    """(source, page, kind, count): how many symbols of each kind a page shows."""
+    return hits.groupBy("source", "page", "kind").agg(F.count(F.lit(1)).alias("count"))
