@@ -1,45 +1,35 @@
-"""Connected components as an iterated aggregation."""
+"""Connected components as iterated aggregations, by alternating large and small stars."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="folioframe-")
+from ..sources.shared import written
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each node's component; ``edges`` (a, b) may go either way.
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, centre): the least node of its component for every node with an edge (u, v) to another.
 
-    Labels spread along edges and jump to the label's own label, so rounds grow with the logarithm
-    of the longest path.  Each round is written to the shared folder, which ends the lineage.
+    In turn every node hands its larger neighbours, then its smaller ones, to the least of them.  Rounds grow with
+    the logarithm of the longest path; each is written, which ends the lineage.
     """
-    spark = nodes.sparkSession
-    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both.write.parquet(f"{folder}/edges")
-    both = spark.read.parquet(f"{folder}/edges")
-    labels = nodes.select("node", F.col("node").alias("component"))
-    turn = 0
+    now, mark = written(edges.where("u > v").distinct(), "edges"), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("a"), "left").select(
-            "node", "component", F.least("component", F.coalesce("near", "component")).alias("next")
-        )
-        jump = spread.select(F.col("node").alias("at"), F.col("next").alias("beyond"))
-        moved = spread.join(jump, F.col("next") == F.col("at"), "left").select(
-            "node", F.least("next", F.coalesce("beyond", "next")).alias("component"), F.col("component").alias("was")
-        )
-        moved.write.parquet(f"{folder}/{turn}")
-        done = spark.read.parquet(f"{folder}/{turn}")
-        if done.where("component <> was").isEmpty():
-            return done.select("node", "component")
-        labels = done.select("node", "component")
-        turn += 1
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if seen == mark or not seen[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("centre"))
+        mark = seen
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u > v")
+        now = written(small.unionByName(least.withColumnRenamed("least", "v")).distinct(), "small-star")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each node's component; ``edges`` (a, b) may go either way, repeat, or be loops."""
+    placed = stars(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    found = placed.withColumnRenamed("node", "at")
+    return nodes.join(found, F.col("node") == F.col("at"), "left").select("node", F.coalesce("centre", "node").alias("component"))
