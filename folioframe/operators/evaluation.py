@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import held_patterns
 from ..functions.text import squash
 
 
@@ -41,13 +42,22 @@ def coverage_summary(covered: DataFrame) -> DataFrame:
 def evidence_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     """(case_id, source, page): pages (source, page, text) whose text holds a case's evidence, white space aside.
 
-    Evidence is short and bounded in number (an evaluation set); the pages stream past it once.
+    All evidence is looked for in one pass over the pages.
     """
-    asked = evidence.select("case_id", squash(F.col("evidence")).alias("wanted")).where(F.length("wanted") > 0)
-    if asked.count() <= 10_000:
-        asked = F.broadcast(asked)
+    asked = evidence.select("case_id", squash(F.col("evidence")).alias("wanted"))
     own = pages.select("source", "page", squash(F.col("text")).alias("squashed"))
-    return own.join(asked, F.col("squashed").contains(F.col("wanted"))).select("case_id", "source", "page")
+    found = held_patterns(own, ["source", "page"], "squashed", asked.select("wanted"))
+    return asked.join(found, F.col("wanted") == F.col("pattern")).select("case_id", "source", "page")
+
+
+def kind_hits(ranks: DataFrame, cases: DataFrame) -> DataFrame:
+    """(kind, cases, hits): of each kind of case (case_id, kind) how many there are, and how many have a rank at all.
+
+    Cases without a kind are single ones.
+    """
+    kinds = cases.select("case_id", F.coalesce("kind", F.lit("single")).alias("kind"))
+    joined = kinds.join(ranks.select("case_id", "rank"), "case_id", "left")
+    return joined.groupBy("kind").agg(F.count(F.lit(1)).alias("cases"), F.count("rank").alias("hits"))
 
 
 def normalised_cases(cases: DataFrame) -> DataFrame:

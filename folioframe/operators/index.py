@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
 from ..functions.vectors import norm
+from ..sources.shared import written
 
 #: Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,13 +25,31 @@ PLACES = 9
 QUERY_BLOCK = 4096
 
 
-def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id") -> DataFrame:
-    """(chunk_id, term, tf)."""
-    return (
-        chunks.select(F.col(id_col).alias("chunk_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-        .groupBy("chunk_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+@dataclass(frozen=True)
+class WordIndex:
+    """An inverted index as tables: postings (chunk_id, dl, term, tf), weights (term, df, idf), stats (one row: n, avgdl)."""
+
+    postings: DataFrame
+    weights: DataFrame
+    stats: DataFrame
+
+
+def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id", segmenter=None) -> DataFrame:
+    """(chunk_id, dl, term, tf): how often each term stands in each chunk of ``dl`` tokens.
+
+    A chunk is tokenised once and counted where it is read, so what is shuffled has one row for each of its terms.
+    """
+    words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col), segmenter).alias("words"))
+    each = words.select("chunk_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    return each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def word_index(chunks: DataFrame, posts: DataFrame) -> WordIndex:
+    """The index over ``posts``, the postings of ``chunks`` (best a stored table; see ``sources.store``)."""
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(total)
+    stats = stats.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))
+    return WordIndex(posts, term_weights(posts, stats), stats)
 
 
 def document_lengths(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id") -> DataFrame:
@@ -50,24 +70,28 @@ def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
+#: Most query terms that are sent to all tasks; with more, postings and terms are shuffled.
+BROADCAST_TERMS = 1_000_000
+
+
+def search_words(index: WordIndex, queries: DataFrame, segmenter=None) -> DataFrame:
     """(query_id, chunk_id, score) of chunks that share a term with the query (query_id, query_text).
 
-    Query terms meet postings in an equi-join on the term; a chunk is never scored against a
-    query it shares nothing with.
+    The queries' terms and their weights are small and go to the postings, so only postings of these terms are read
+    on, and none is shuffled before it is worth something to a query.
     """
-    words = chunks.select("chunk_id", tokens(F.col(text_col)).alias("words"))
-    posts = (
-        words.select("chunk_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = corpus_stats(words.select(F.size("words").alias("dl")))
-    # What a posting is worth is settled before queries meet it, so the largest join carries three columns.
+    terms = queries.select("query_id", F.explode(query_tokens(F.col("query_text"), segmenter)).alias("term"))
+    asked = terms.join(index.weights.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    if terms.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    worth = posts.join(term_weights(posts, stats), "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", part.alias("part"))
-    terms = queries.select("query_id", F.explode(query_tokens(F.col("query_text"))).alias("term"))
-    return terms.join(worth, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    return index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """``search_words`` over an index made for this call: the corpus is tokenised once, its postings are written and searched."""
+    posts = written(postings(chunks, text_col), "postings")
+    return search_words(word_index(chunks, posts), queries)
 
 
 def ranked(scores: DataFrame, most: int, *ties: str) -> DataFrame:
@@ -85,7 +109,8 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: list[str], most:
     """(query_id, *key, score) of every query (query_id, query_vector) against all rows (key, vector).
 
     Queries go to the tasks in blocks of a fixed number, as one matrix; a batch of rows is scored by
-    one product and returns no more than what may be among the ``most`` best.
+    one product.  A task holds what may be among the ``most`` best of the rows it has seen, and returns
+    that at its end.
     """
     spark = vectors.sparkSession
     rows = vectors.where(norm(F.col("vector")) > 0).select(*key, "vector")
@@ -100,15 +125,32 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: list[str], most:
     def scored(block: list) -> DataFrame:
         sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), unit([r["query_vector"] for r in block])))
 
+        def best(held: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series]:
+            """The rows that may be among the best, and each query's floor; ties are settled later."""
+            held = held.sort_values(["query", "score"], ascending=[True, False], kind="stable")
+            place = held.groupby("query").cumcount()
+            floor = held.loc[place == most - 1].set_index("query")["score"] - 2 * 10.0**-PLACES
+            return held[held["score"] >= held["query"].map(floor).fillna(-np.inf)], floor
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
+            least, held, size = np.full(len(ids), -np.inf), [], 0
             for batch in batches:
-                if len(batch):
-                    scores = matrix @ unit(batch["vector"]).T
-                    rank = max(0, scores.shape[1] - most)
-                    least = np.partition(scores, rank, axis=1)[:, rank] - 2 * 10.0**-PLACES  # ties are settled later
-                    query, row = np.nonzero(scores >= least[:, None])
-                    yield pd.DataFrame({"query_id": ids[query], **{k: batch[k].to_numpy()[row] for k in key}, "score": scores[query, row]})
+                if not len(batch):
+                    continue
+                scores = matrix @ unit(batch["vector"]).T
+                rank = max(0, scores.shape[1] - most)
+                own = np.partition(scores, rank, axis=1)[:, rank] - 2 * 10.0**-PLACES if scores.shape[1] >= most else least
+                query, row = np.nonzero(scores >= np.maximum(least, own)[:, None])
+                held.append(pd.DataFrame({"query": query, **{k: batch[k].to_numpy()[row] for k in key}, "score": scores[query, row]}))
+                size += len(query)
+                if size > 4 * most * len(ids):
+                    kept, floor = best(pd.concat(held, ignore_index=True))
+                    least[floor.index.to_numpy()] = floor.to_numpy()
+                    held, size = [kept], 0
+            if held:
+                kept, _ = best(pd.concat(held, ignore_index=True))
+                yield kept.assign(query_id=ids[kept["query"].to_numpy()])[["query_id", *key, "score"]]
 
         return rows.mapInPandas(run, schema)
 

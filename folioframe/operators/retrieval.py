@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import held_patterns
 from ..functions.text import IDENTIFIER, query_tokens
 from .index import PLACES, contribution
 
@@ -36,10 +37,8 @@ def identifier_hits(chunks: DataFrame, queries: DataFrame, scores: DataFrame | N
     larger chunk_id.  Identifiers of all queries are looked for in one pass over the chunks.
     """
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("query_text"))).alias("identifier")).where(F.col("identifier").rlike(IDENTIFIER))
-    distinct = wanted.select("identifier").distinct()
-    if distinct.count() <= 10_000:
-        distinct = F.broadcast(distinct)
-    found = chunks.select("chunk_id", F.lower("text").alias("lowered")).join(distinct, F.col("lowered").contains(F.col("identifier"))).select("chunk_id", "identifier")
+    lowered = chunks.select("chunk_id", F.lower("text").alias("lowered"))
+    found = held_patterns(lowered, ["chunk_id"], "lowered", wanted.select("identifier")).withColumnRenamed("pattern", "identifier")
     hits = wanted.join(found, "identifier").select("query_id", "chunk_id").distinct()
     hits = hits.join(scores.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left") if scores is not None else hits.withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), PLACES)), F.desc("chunk_id"))
