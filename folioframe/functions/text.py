@@ -1,7 +1,11 @@
-"""Text functions as Column expressions; whole-stage code, no Python per row."""
+"""Text functions as Column expressions; no Python per row."""
 
 from __future__ import annotations
 
+import html
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +15,40 @@ IDENTIFIER = r"^[a-z]{1,6}[-.]?[0-9]{1,5}[a-z0-9.\-ø]*$"
 NUMBERED = r"[A-Za-z]{0,6}[-\s]?[0-9][\p{L}\p{N}_\-./]*"
 TAG = r"\b[A-Z]{1,6}[-\s]?[0-9]{1,6}(?:-[0-9ØΦ][0-9.X×]*)?[A-Z]{0,2}\b"
 SUBSTANCE = r"[0-9A-Za-z一-鿿]"
-SENTENCE_END = r"[。．.!?！？]\s*$"
+SENTENCE_END = r"(?U)[。．.!?！？][\s\x1C-\x1F]*$"
+SPACE = r"[\s\x1C-\x1F]"
 LEAST_CONTEXT = 15
 
 
 def strip(text: Column) -> Column:
     """Without white space (of any script) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+
 
+def tokens(text: Column, segmenter=None) -> Column:
+    """Runs of letters, digits and underscores in lower case; null gives none.
 
-def tokens(text: Column) -> Column:
-    """Runs of letters, digits and underscores in lower case; null gives none."""
+    ``segmenter`` (a function from a column of strings to one of arrays) takes its place, for scripts that don't part words.
+    """
+    if segmenter is not None:
+        cut = F.transform(segmenter(F.coalesce(text, F.lit(""))), lambda t: F.lower(strip(t)))
+        return F.filter(cut, lambda t: t.rlike(TOKEN))
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def query_tokens(text: Column) -> Column:
+def query_tokens(text: Column, segmenter=None) -> Column:
     """Tokens of a query, each once, in order."""
-    return F.array_distinct(tokens(text))
+    return F.array_distinct(tokens(text, segmenter))
+
+
+def event_line(event: Column) -> Column:
+    """An event (a struct) as one line of JSON; characters stay as they are."""
+    return F.to_json(event)
 
 
 def squash(text: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.regexp_replace(text, f"(?U){SPACE}+", "")
 
 
 def retrieval_text(context: Column, text: Column) -> Column:
@@ -87,6 +103,45 @@ def latex_to_plain(text: Column) -> Column:
     return F.array_join(F.transform(outside, lambda part, i: F.concat(part, F.coalesce(plain(F.get(inside, i)), F.lit("")))), "")
 
 
+ENTITY = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});?"
+#: What HTML's names and first numbers stand for, by the standard library's tables.
+ENTITIES = json.dumps({**{k.rstrip(";"): v for k, v in sorted(html5.items())}, **{f"#{i}": html.unescape(f"&#{i};") for i in range(160)}}, ensure_ascii=False)
+#: Names that need no semicolon behind them, and so may begin a longer word.
+BARE = sorted(k for k in html5 if not k.endswith(";"))
+
+
+def entities_resolved(text: Column) -> Column:
+    """Every entity of HTML as what it stands for; numbers that are no character as the replacement sign, unknown names as they are.
+
+    The text is cut at entities, so nothing outside of them changes.
+    """
+    known = F.from_json(F.lit(ENTITIES), "map<string,string>")
+    outside = F.split(text, ENTITY)
+    signs, names = (F.regexp_extract_all(text, F.lit(ENTITY), F.lit(i)) for i in (0, 1))
+
+    def numbered(name: Column) -> Column:
+        digits = F.regexp_extract(name, "^#[xX]?(.+)$", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+        wrong = ((code >= 0xD800) & (code < 0xE000)) | (code > 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(wrong, F.lit("\ufffd")).when(code < 160, known[F.concat(F.lit("#"), code.cast("string"))]).otherwise(character)
+
+    def named(sign: Column, name: Column) -> Column:
+        bare = F.array(*map(F.lit, BARE))
+        begun = F.array_sort(F.filter(bare, lambda k: name.startswith(k)), lambda x, y: F.length(y) - F.length(x))
+        longest = F.get(begun, F.lit(0))
+        rest = F.concat(known[longest], F.substring(sign, F.length(longest) + 2, F.length(sign)))
+        whole = F.when(sign.endswith(";") | F.array_contains(bare, name), known[name])
+        return F.coalesce(whole, rest, sign)
+
+    def resolved(i: Column) -> Column:
+        sign, name = F.get(signs, i), F.get(names, i)
+        return F.when(sign.isNull(), F.lit("")).when(name.startswith("#"), numbered(name)).otherwise(named(sign, name))
+
+    joined = F.array_join(F.transform(outside, lambda part, i: F.concat(part, F.coalesce(resolved(i), F.lit("")))), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
 def html_table_to_markdown(table: Column) -> Column:
     """Pipe table of an HTML table: tags to spaces, entities resolved, white space collapsed, pipes escaped,
     cells repeated by colspan, rows filled up to the widest; the first row is the header.  Without rows: empty."""
@@ -94,9 +149,7 @@ def html_table_to_markdown(table: Column) -> Column:
 
     def text_of(cell: Column) -> Column:
         x = F.regexp_replace(F.regexp_extract(cell, r"(?is)^<t[dh][^>]*>(.*?)</t[dh]>$", 1), r"<[^>]+>", " ")
-        for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-            x = F.replace(x, F.lit(entity), F.lit(character))
-        return F.replace(strip(F.regexp_replace(latex_to_plain(x), r"(?U)\s+", " ")), F.lit("|"), F.lit("\\|"))
+        return F.replace(strip(F.regexp_replace(latex_to_plain(entities_resolved(x)), f"(?U){SPACE}+", " ")), F.lit("|"), F.lit("\\|"))
 
     def span(cell: Column) -> Column:
         n = F.regexp_extract(cell, r"(?is)^<t[dh][^>]*colspan\s*=\s*\"?(\d{1,4})", 1)

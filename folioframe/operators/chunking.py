@@ -1,97 +1,99 @@
 """Structure-aware chunking of Markdown pages.
 
-Splitting into blocks only looks at lines and their predecessors, so it is a fold over the
-page's own array of lines; nothing is shuffled.  Packing depends on running lengths and is a
-fold as well.  All of it is one projection over a page.
+Blocks, parts of tables and chunks all depend on what stands before, so a page is one pass over its lines, in
+Arrow batches: linear in its length, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_pieces, strip
+from ..functions.text import strip
 
 #: Fixed values.
 TARGET, MOST, OVERLAP = 800, 1600, 100
-HEADER, TABLE_ROW = r"^#{1,6}\s", r"^\s*\|"
-STRINGS = "array<string>"
+HEADER, TABLE_ROW = re.compile(r"#{1,6}\s"), re.compile(r"\s*\|")
 
 
-def blocks(text: Column) -> Column:
-    """Array of blocks: cut at blank lines, before headings, and where table rows begin or end."""
-    state = "struct<done:array<string>,open:array<string>,kind:string>"
+def block_list(text: str) -> list[str]:
+    """Runs of lines of one kind: table rows, or other lines; a heading begins a new run, blank lines part runs."""
 
-    def closed(s: Column) -> Column:
-        joined = F.regexp_replace(F.array_join(s["open"], "\n"), r"^\n+|\n+$", "")
-        return F.when(F.length(strip(joined)) > 0, F.concat(s["done"], F.array(joined))).otherwise(s["done"])
+    def runs() -> Iterator[tuple[tuple[int, int], str]]:
+        headings = 0
+        for line in text.split("\n"):
+            kind = 0 if not line.strip() else 2 if TABLE_ROW.match(line) else 1
+            headings += bool(HEADER.match(line))
+            yield (kind, headings if kind else -1), line
 
-    def step(s: Column, line: Column) -> Column:
-        kind = F.when(line.rlike(TABLE_ROW), F.lit("table")).otherwise(F.lit("text"))
-        cut = (s["kind"].isNotNull() & (s["kind"] != kind)) | (line.rlike(HEADER) & (F.size(s["open"]) > 0))
-        blank = F.length(strip(line)) == 0
-        return (
-            F.when(blank, F.struct(closed(s).alias("done"), F.array().cast(STRINGS).alias("open"), F.lit(None).cast("string").alias("kind")))
-            .when(cut, F.struct(closed(s).alias("done"), F.array(line).alias("open"), kind.alias("kind")))
-            .otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(line)).alias("open"), kind.alias("kind")))
-            .cast(state)
-        )
+    return ["\n".join(line for _, line in run) for (kind, _), run in groupby(runs(), key=lambda x: x[0]) if kind]
 
-    start = F.struct(F.array().cast(STRINGS).alias("done"), F.array().cast(STRINGS).alias("open"), F.lit(None).cast("string").alias("kind")).cast(state)
-    return F.aggregate(F.split(text, "\n"), start, step, closed)
 
+def filled(parts: Iterable[str], room: Callable[[int], bool], joint: int) -> Iterator[list[str]]:
+    """Neighbours put together while the length of what is joined (``joint`` characters between two) finds room."""
+    held: list[str] = []
+    size = 0
+    for part in parts:
+        grown = size + joint + len(part) if held else len(part)
+        if held and not room(grown):
+            yield held
+            held, grown = [], len(part)
+        held.append(part)
+        size = grown
+    if held:
+        yield held
+
+
+def table_list(block: str, most: int = MOST) -> list[str]:
+    """Parts of a table, each beginning with its first two lines and as many rows as fit."""
+    lines = block.split("\n")
+    header = "\n".join(lines[:2])
+    groups = filled(lines[2:], lambda n: len(header) + 1 + n <= most, 1)
+    return ["\n".join([header, *own]) for own in groups] or [header]
 
-def table_parts(block: Column, most: int = MOST) -> Column:
-    """Array of parts of a table, each beginning with its first two lines and as many rows as fit."""
-    lines = F.split(block, "\n")
-    header = F.array_join(F.slice(lines, 1, 2), "\n")
-    rows = F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))
-    state = "struct<done:array<string>,open:array<string>,n:int>"
-    base = F.length(header)
 
-    def part(s: Column) -> Column:
-        return F.concat(header, F.lit("\n"), F.array_join(s["open"], "\n"))
+def char_list(text: str, size: int = MOST, overlap: int = OVERLAP) -> list[str]:
+    """Pieces of at most ``size`` characters that share ``overlap``, stripped; blank ones are left out."""
+    starts = range(0, max(1, len(text) - overlap), size - overlap)
+    return [piece for at in starts if (piece := text[at : at + size].strip())]
 
-    def step(s: Column, row: Column) -> Column:
-        full = (F.size(s["open"]) > 0) & (s["n"] + F.length(row) + 1 > most)
-        return F.when(
-            full, F.struct(F.concat(s["done"], F.array(part(s))).alias("done"), F.array(row).alias("open"), (base + F.length(row) + 1).alias("n"))
-        ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(row)).alias("open"), (s["n"] + F.length(row) + 1).alias("n"))).cast(state)
 
-    start = F.struct(F.array().cast(STRINGS).alias("done"), F.array().cast(STRINGS).alias("open"), base.alias("n")).cast(state)
-    return F.aggregate(
-        rows, start, step,
-        lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(part(s)))).when(F.size(s["done"]) > 0, s["done"]).otherwise(F.array(header)),
-    )
+def chunk_list(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
+    """Blocks, the ones over ``most`` characters split, and neighbours joined by a blank line within ``target`` characters."""
 
+    def sized() -> Iterator[str]:
+        for block in block_list(text):
+            if len(block) <= most:
+                yield block
+            else:
+                yield from table_list(block, most) if TABLE_ROW.match(block) else char_list(block, most)
 
-def sized_blocks(found: Column, most: int = MOST) -> Column:
-    """Array of blocks of which those over ``most`` characters are split: tables by rows, text by characters."""
-    return F.flatten(
-        F.transform(
-            found,
-            lambda b: F.when(F.length(b) <= most, F.array(b)).when(b.rlike(TABLE_ROW), table_parts(b, most)).otherwise(char_pieces(b, most, OVERLAP)),
-        )
-    )
+    return ["\n\n".join(own) for own in filled(sized(), lambda n: n <= target, 2)]
 
 
-def packed(found: Column, target: int = TARGET) -> Column:
-    """Array of chunks: neighbouring blocks joined by a blank line while they stay within ``target`` characters."""
-    state = "struct<done:array<string>,open:string>"
-    start = F.struct(F.array().cast(STRINGS).alias("done"), F.lit("").alias("open")).cast(state)
+def listed(column: Column, make: Callable[[str], list[str]]) -> Column:
+    """``make`` of every text, as arrays; null gives none."""
 
-    def closed(s: Column) -> Column:
-        return F.when(F.length(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: make(t) if t else [])
 
-    def step(s: Column, block: Column) -> Column:
-        joined = F.when(F.length(s["open"]) > 0, F.concat(s["open"], F.lit("\n\n"), block)).otherwise(block)
-        return (
-            F.when(F.length(joined) <= target, F.struct(s["done"].alias("done"), joined.alias("open")))
-            .otherwise(F.struct(closed(s).alias("done"), block.alias("open")))
-            .cast(state)
-        )
+    return run(column)
 
-    return F.aggregate(found, start, step, closed)
+
+def blocks(text: Column) -> Column:
+    """Array of blocks: cut at blank lines, before headings, and where table rows begin or end."""
+    return listed(text, block_list)
+
+
+def table_parts(block: Column, most: int = MOST) -> Column:
+    """Array of parts of a table, each beginning with its first two lines and as many rows as fit."""
+    return listed(block, lambda t: table_list(t, most))
 
 
 def chunk_pages(pages: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
@@ -99,6 +101,6 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, most: int = MOST) -> Dat
 
     Null and blank pages have no chunks.
     """
-    pieces = F.filter(packed(sized_blocks(blocks(F.coalesce("text", F.lit(""))), most), target), lambda p: F.length(strip(p)) > 0)
+    pieces = F.filter(listed(F.col("text"), lambda t: chunk_list(t, target, most)), lambda p: F.length(strip(p)) > 0)
     kept = [c for c in pages.columns if c not in ("text", "piece")]
     return pages.select(*kept, F.posexplode(pieces).alias("piece", "text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .ordering import in_order
 
 TURNS = 3
 DEFAULT_TITLE = "新对话"
@@ -80,3 +81,24 @@ def summary_saved(conversations: DataFrame, summaries: DataFrame) -> DataFrame:
     return conversations.join(new, "conv_id", "left").select(
         *[c for c in conversations.columns if c not in ("summary", "summary_upto")], F.coalesce("s", "summary").alias("summary"), F.coalesce("u", "summary_upto").alias("summary_upto")
     )
+
+
+def messages_of(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The messages of the asked-for conversations (conv_id); none for unknown ones."""
+    return messages.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
+
+
+def summaries_of(conversations: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(conv_id, summary, summary_upto) of the asked-for conversations; empty and 0 without a summary."""
+    own = conversations.select("conv_id").distinct().join(summaries.select("conv_id", "summary", "summary_upto"), "conv_id", "left")
+    return own.select("conv_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("summary_upto", F.lit(0)).alias("summary_upto"))
+
+
+def deleted(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``rows`` (messages or conversations) without those of the given conversations."""
+    return rows.join(conversations.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def listed(conversations: DataFrame) -> DataFrame:
+    """``conversations`` (conv_id, updated_at, ...) with ``place`` from 1: newest first, of equals the least id."""
+    return in_order(conversations, [F.desc("updated_at"), F.col("conv_id")], "place").withColumn("place", F.col("place") + 1)

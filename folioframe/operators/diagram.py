@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
-
 #: Fixed values.
 NOT_A_TAG = r"(?i)^(NOTE|DN|SUS|CLASS|PAGE|FIG|NO|REV|SCALE|TYPE|MAX|MIN)[0-9]"
 WATERMARK = "(?i)DRAFT MANUAL FOR REVIEW"
@@ -123,15 +123,56 @@ def joined_ends(lines: DataFrame, key: list[str], tolerance: float = TOLERANCE)
     return cells.join(wide, [*key, "cx", "cy"]).where((F.col("seg") < F.col("b")) & near).select(F.col("seg").alias("a"), "b").distinct()
 
 
+def page_runs(lines: pd.DataFrame, tolerance: float) -> np.ndarray:
+    """For each segment of a page the least ``seg`` of its run."""
+    seg = lines["seg"].to_numpy()
+    ends = np.concatenate([lines[["x0", "y0"]].to_numpy(float), lines[["x1", "y1"]].to_numpy(float)])
+    owner = np.tile(np.arange(len(seg)), 2)
+    above = np.argsort(np.argsort(seg, kind="stable"), kind="stable")  # parents by order of seg
+    parent = np.arange(len(seg))
+    by_order = np.argsort(above)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, (cx, cy) in enumerate(np.floor(ends / tolerance).astype(np.int64)):
+        around = (n for dx in (-1, 0, 1) for dy in (-1, 0, 1) for n in cells.get((cx + dx, cy + dy), ()))
+        for n in around:
+            if (np.abs(ends[k] - ends[n]) < tolerance).all():
+                a, b = sorted((root(above[owner[k]]), root(above[owner[n]])))
+                parent[b] = a
+        cells.setdefault((cx, cy), []).append(k)
+    return seg[by_order[[root(i) for i in above]]]
+
+
 def pipe_runs(lines: DataFrame, key: list[str], tolerance: float = TOLERANCE) -> DataFrame:
-    """(*key, run, segments, x0, y0, x1, y1): segments that hang together at their ends, with their bounds; ``run`` is the least segment."""
-    placed = components(lines.select(F.col("seg").alias("node")), joined_ends(lines, key, tolerance))
-    return lines.join(placed, F.col("seg") == F.col("node")).groupBy(*key, F.col("component").alias("run")).agg(
-        F.count(F.lit(1)).alias("segments"), F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"),
-        F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"),
+    """(*key, run, segments, x0, y0, x1, y1): segments that hang together at their ends, with their bounds; ``run`` is the least segment.
+
+    A page's segments are one group (a page holds so many strokes and no more), so one exchange is all it takes.
+    """
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in [*key, "seg"]}
+    named = ", ".join(f"{c} {kinds[c]}" for c in key)
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        return page[key].assign(run=page_runs(page, tolerance), x0=page[["x0", "x1"]].min(axis=1), y0=page[["y0", "y1"]].min(axis=1), x1=page[["x0", "x1"]].max(axis=1), y1=page[["y0", "y1"]].max(axis=1))
+
+    placed = lines.select(*key, "seg", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).groupBy(*key).applyInPandas(
+        run, f"{named}, run {kinds['seg']}, x0 double, y0 double, x1 double, y1 double"
+    )
+    return placed.groupBy(*key, "run").agg(
+        F.count(F.lit(1)).alias("segments"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
 
 
+def runs_in_order(runs: DataFrame, key: list[str]) -> DataFrame:
+    """``runs`` with ``place``: from 1 within a page, most segments first; of equals the least run goes first."""
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("segments"), "run")))
+
+
 def legend(swatches: DataFrame, texts: DataFrame) -> DataFrame:
     """(source, page, colour, medium): the nearest text line right of each short coloured stroke; the last of a colour counts.
 

@@ -15,11 +15,12 @@ def degenerate_pages(pages: DataFrame, key: list[str]) -> DataFrame:
     """(*key, n_lines, mass, top_pattern, top_count): pages that repeat one pattern of line again and again.
 
     Lines of at most 12 characters and table rows don't count.  Numbers and identifiers are
-    replaced by a sign, so lines that differ only there are one pattern.  Both aggregations combine
+    replaced by a sign, so lines that differ only there are one pattern.  Pages of fewer lines than
+    count are left out before any line is looked at.  Both aggregations combine
     on the map side; a page with very many lines is spread over the tasks by pattern.
     """
     line = strip(F.col("line"))
-    lines = pages.select(*key, F.explode(F.split("text", "\n")).alias("line")).select(*key, line.alias("line"))
+    lines = pages.where(F.size(F.split("text", "\n")) >= LEAST_LINES).select(*key, F.explode(F.split("text", "\n")).alias("line")).select(*key, line.alias("line"))
     lines = lines.where((F.length("line") > SHORT_LINE) & ~F.col("line").startswith("|"))
     counts = lines.select(*key, F.regexp_replace("line", NUMBERED, "#").alias("pattern")).groupBy(*key, "pattern").agg(F.count(F.lit(1)).alias("n"))
     repeated = (F.col("n") >= LEAST_REPEAT) & (F.regexp_count("pattern", F.lit(SUBSTANCE)) >= LEAST_SUBSTANCE)
@@ -37,6 +38,20 @@ def truncated(finish_reason):
     return F.coalesce(finish_reason == "length", F.lit(False))
 
 
+def failure_reasons(attempts: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, reason) of transcriptions (text, finish_reason) that failed: cut at the length limit, or degenerate.
+
+    The limit goes first; a degenerate page tells its repeated lines, all lines, and the pattern that repeats most.
+    """
+    cut = attempts.where(truncated(F.col("finish_reason"))).select(*key).distinct().withColumn("reason", F.lit("length limit"))
+    bad = degenerate_pages(attempts.select(*key, "text"), key).join(cut.select(*key), key, "left_anti")
+    told = F.concat(
+        F.col("mass").cast("string"), F.lit("/"), F.col("n_lines").cast("string"), F.lit(" repeated lines: "), F.substring("top_pattern", 1, 40),
+        F.lit(" x "), F.col("top_count").cast("string"),
+    )
+    return cut.unionByName(bad.select(*key, told.alias("reason")))
+
+
 def longest_attempt(attempts: DataFrame, key: list[str]) -> DataFrame:
     """(*key, text): of a page's attempts (attempt, text) the longest, of equals the first."""
     return attempts.groupBy(*key).agg(F.max_by("text", F.struct(F.length("text"), -F.col("attempt"))).alias("text"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import l2_normalised
+from .ordering import in_order
+
 
 def ordered_text(seq: str, text: str = "text"):
     """Aggregate: texts in order of ``seq`` joined by blank lines."""
@@ -22,10 +25,17 @@ def removed_counts(store: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def append(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """``new`` behind the store: its rows get the next chunk_seq in ``order``.
+    """The store and ``behind(store, new, order)``."""
+    return store.unionByName(behind(store, new, order))
+
+
+def behind(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` as rows of the store behind all it holds: with the next chunk_seq in ``order``, and unit vectors if there are any.
 
     Numbers come from sums over (source) runs, so only the rows of one source are ordered together.
     """
+    if "vector" in new.columns:
+        new = new.withColumn("vector", l2_normalised(F.col("vector")).cast(store.schema["vector"].dataType))
     last = store.agg(F.coalesce(F.max("chunk_seq"), F.lit(-1).cast("long")).alias("last"))
     first = new.groupBy("source").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("first", "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +43,7 @@ def append(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("source").orderBy(*order))
     numbered = new.withColumn("own", own).join(ahead, "source").crossJoin(F.broadcast(last))
     numbered = numbered.withColumn("chunk_seq", F.col("last") + F.col("ahead") + F.col("own"))
-    return store.unionByName(numbered.select(*store.columns))
+    return numbered.select(*store.columns)
 
 
 def replace_sources(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -79,16 +89,17 @@ def merge_pages(existing: DataFrame, parsed: DataFrame, diagrams: DataFrame) ->
 
 
 def replace_pages(store: DataFrame, fixed: DataFrame) -> DataFrame:
-    """The store with the chunks of each page of ``fixed`` (source, page, piece, text) in the place of the page's old ones.
+    """The store with the chunks of each page of ``fixed`` (source, page, piece, text, ...) in the place of the page's first old one.
 
-    chunk_seq is numbered anew within each source, from 0; pages that the store doesn't hold are left out.
+    All columns of the store stay, those that ``fixed`` lacks null in its rows; chunk_seq is numbered anew over the whole
+    store, from 0, in the order there was.  Pages that the store doesn't hold are left out.
     """
     pages = fixed.select("source", "page").distinct()
-    old = store.groupBy("source", "page").agg(F.min("chunk_seq").alias("place"))
-    kept = store.join(pages, ["source", "page"], "left_anti").select("source", "page", "text", F.col("chunk_seq").alias("place"), F.lit(0).alias("piece"))
-    new = fixed.join(old, ["source", "page"]).select("source", "page", "text", "place", "piece")
-    number = F.row_number().over(Window.partitionBy("source").orderBy("place", "piece")) - 1
-    return kept.unionByName(new).select("source", "page", "text", number.cast("long").alias("chunk_seq"))
+    first = store.groupBy("source", "page").agg(F.min("chunk_seq").alias("__place"))
+    kept = store.join(pages, ["source", "page"], "left_anti").withColumn("__place", F.col("chunk_seq")).withColumn("__piece", F.lit(0))
+    new = fixed.withColumnRenamed("piece", "__piece").join(first, ["source", "page"])
+    rows = kept.unionByName(new.drop("chunk_seq"), allowMissingColumns=True).drop("chunk_seq")
+    return in_order(rows, ["__place", "__piece"], "chunk_seq").select(*store.columns)
 
 
 def stale(targets: DataFrame, done: DataFrame, method: str) -> DataFrame:
