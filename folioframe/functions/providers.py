@@ -6,6 +6,7 @@ Providers are called per batch in Arrow batches, and built once per task.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -34,6 +35,26 @@ class Writer(Protocol):
     def write(self, prompt: str) -> str: ...
 
 
+class ImageEmbedder(Protocol):
+    """Vectors of images, and of texts in the images' space."""
+
+    def embed_images(self, images: list[bytes]) -> np.ndarray: ...
+
+    def embed_texts(self, texts: list[str]) -> np.ndarray: ...
+
+
+class Viewer(Protocol):
+    """Text from an image: a transcription, the tags of a tile, a page's gist; and why it ended."""
+
+    def view(self, image: bytes, strict: bool) -> tuple[str, str | None]: ...
+
+
+class Answerer(Protocol):
+    """An answer in pieces, from a prompt and the images of pages (data URIs)."""
+
+    def stream(self, prompt: str, images: list[str]) -> Iterator[str]: ...
+
+
 class HashEmbedder:
     """Words hashed into a vector; a stand-in, not a model."""
 
@@ -46,6 +67,42 @@ class HashEmbedder:
         return out
 
 
+class HashImageEmbedder:
+    """Bytes of images and words of texts hashed into one space; a stand-in, not a model."""
+
+    def embed_images(self, images: list[bytes]) -> np.ndarray:
+        return np.stack([np.bincount(np.frombuffer(b, np.uint8) % DIMENSIONS, minlength=DIMENSIONS) for b in images]).astype(np.float32)
+
+    def embed_texts(self, texts: list[str]) -> np.ndarray:
+        return HashEmbedder().embed(texts)
+
+
+class PrintedText:
+    """Takes an image's bytes for the text that it shows; a stand-in, not a model."""
+
+    def view(self, image: bytes, strict: bool) -> tuple[str, str | None]:
+        return image.decode("utf-8", "replace"), "stop"
+
+
+class FirstWords:
+    """Streams the first words of a prompt; a stand-in, not a model."""
+
+    def stream(self, prompt: str, images: list[str]) -> Iterator[str]:
+        yield from (word + " " for word in prompt.split()[:3])
+
+
+#: Fixed value: what stands before the question in a prompt.
+QUESTION_HEAD = "用户问题："
+
+
+class KeywordReply:
+    """Answers a question (behind its head in the prompt) with JSON: the question, and its longer words as keywords; a stand-in, not a model."""
+
+    def write(self, prompt: str) -> str:
+        question = prompt.rsplit(QUESTION_HEAD, 1)[-1]
+        return json.dumps({"query": question, "keywords": " ".join(w for w in question.split(" ") if len(w) > 6)}, ensure_ascii=False)
+
+
 class OverlapReranker:
     """Share of the query's words that a document has; a stand-in, not a model."""
 
@@ -75,6 +132,31 @@ def embedded(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Colum
     return run(text)
 
 
+def answered(columns: list[Column], call: Callable[..., object], make: Callable[[], object], kind: str, failing: bool = True) -> Column:
+    """``call(provider, *values)`` for every row, one provider a task.
+
+    Null where a call fails, if ``failing`` is allowed; else the task fails with it.
+    """
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        provider = make()
+
+        def one(*values):
+            try:
+                return call(provider, *values)
+            except Exception:
+                if not failing:
+                    raise
+                return None  # a provider's failure costs this row only
+
+        for batch in batches:
+            series = batch if isinstance(batch, tuple) else (batch,)
+            yield pd.Series([one(*values) for values in zip(*series, strict=True)], dtype=object)
+
+    return run(*columns)
+
+
 def written_or(prompt: Column, default: Column, make: Callable[[], Writer] = FirstSentence) -> Column:
     """What the provider writes; ``default`` where it fails or writes nothing."""
 

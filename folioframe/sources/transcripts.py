@@ -30,6 +30,17 @@ def list_sources(spark: SparkSession, path: str) -> DataFrame:
     return load_pages(spark, path).select("source").distinct()
 
 
+def page_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(source, pages): every source with its pages in order, as a manifest lists them; sources in order."""
+    pages = load_pages(spark, path).groupBy("source").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    return pages.orderBy("source")
+
+
+def load_all_pages(spark: SparkSession, path: str) -> DataFrame:
+    """All pages, in order of source and page."""
+    return load_pages(spark, path).orderBy("source", "page")
+
+
 def remove_source(spark: SparkSession, path: str, source: str) -> bool:
     """Deletes a source's partition by the file system that holds the table; False if there is none."""
     jvm = spark._jvm
