@@ -10,7 +10,10 @@ from ..operators import chunking as C
 from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import quality as Q
+from ..operators import services as V
 from ..operators import store as S
+from ..sources import transcripts as TR
+from ..sources.shared import fresh_path
 from .retrieval_queries import CHUNKS
 from .tables import chunks, table, values
 
@@ -68,7 +71,6 @@ def block_split(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pages(s: SparkSession, d: str) -> DataFrame:
-    """Chunks of all pages; rows only, tests hold the fold against a plain one."""
     return C.chunk_pages(markdown_pages(s, d)).select("source", "page", "piece", F.length("text").alias("n"), F.sha2("text", 256).alias("sha"))
 
 
@@ -144,8 +146,9 @@ def merge_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def replace_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every fifth page of a source as two new chunks; the rest keeps its place in the one order of the store, and its ids."""
     fixed = chunks(s, d).where("page % 5 = 1").select("source", "page").distinct().select("source", "page", F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("piece", "text"))
-    return S.replace_pages(chunks(s, d), fixed).select("source", "page", "chunk_seq", F.sha2("text", 256).alias("sha"))
+    return S.replace_pages(chunks(s, d), fixed).select("chunk_id", "source", "page", "chunk_seq", F.sha2("text", 256).alias("sha"))
 
 
 def backfill_pages(s: SparkSession, d: str) -> DataFrame:
@@ -160,9 +163,11 @@ def resume_targets(s: SparkSession, d: str) -> DataFrame:
 
 
 def transcript_sources(s: SparkSession, d: str) -> DataFrame:
-    """Sources with their pages in order, as a manifest lists them."""
-    own = pages(s, d).groupBy("source").agg(F.array_sort(F.collect_list("page")).alias("p"))
-    return own.select("source", F.size("p").cast("long").alias("n_pages"), F.sha2(F.array_join(F.col("p").cast("array<string>"), ","), 256).alias("pages_sha"))
+    """Sources with their pages in order, as a manifest lists them, of transcripts that were saved."""
+    path = fresh_path(s, "transcripts")
+    TR.save_pages(pages(s, d), path)
+    own = TR.page_lists(s, path)
+    return own.select("source", F.size("pages").cast("long").alias("n_pages"), F.sha2(F.array_join(F.col("pages").cast("array<string>"), ","), 256).alias("pages_sha"))
 
 
 def diagram_titles(s: SparkSession, d: str) -> DataFrame:
@@ -174,12 +179,11 @@ def image_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def ndjson_events(s: SparkSession, d: str) -> DataFrame:
-    own = table(s, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"), F.col("user_id").alias("user"))).alias("line"))
-    return own
+    return table(s, d, "events").select(T.event_line(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"), F.col("user_id").alias("user"))).alias("line"))
 
 
 def squashed(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", ""), 256).alias("sha"))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.squash(F.coalesce("text", F.lit(""))), 256).alias("sha"))
 
 
 def evidence_verify(s: SparkSession, d: str) -> DataFrame:
@@ -198,14 +202,14 @@ BLOCKS = """('a', 1, 'text', '0', 'Intro $235m^{3}/hour$ here', CAST(NULL AS STR
 
 
 def layout_blocks(s: SparkSession, d: str) -> DataFrame:
-    """The fixture, and the raw web pages' titles as headings (without dollars, as SQL can't rewrite formulas)."""
+    """The fixture, and the raw web pages' titles as headings."""
     fixture = values(s, BLOCKS, "source, place, type, page_idx, text, text_level, table_body, caption").select(
         "source", F.col("place").cast("long").alias("place"), "type", "page_idx", "text", "text_level", "table_body",
         F.when(F.col("caption").isNotNull(), F.array("caption")).alias("table_caption"), F.lit(None).cast("array<string>").alias("image_caption"),
     )
     web = table(s, d, "pages").select(
         F.lit("web").alias("source"), F.col("page_id").alias("place"), F.lit("text").alias("type"), F.floor(F.col("page_id") / 10).cast("string").alias("page_idx"),
-        F.translate(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "$", "S").alias("text"), F.lit("1").alias("text_level"), F.lit(None).cast("string").alias("table_body"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"), F.lit("1").alias("text_level"), F.lit(None).cast("string").alias("table_body"),
         F.lit(None).cast("array<string>").alias("table_caption"), F.lit(None).cast("array<string>").alias("image_caption"),
     )
     return fixture.unionByName(web)
@@ -219,12 +223,42 @@ def page_batches(s: SparkSession, d: str) -> DataFrame:
     return L.page_batches(table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_pages")))
 
 
+REASONS = "('bad', 9, 'whatever text', 'length'), ('short', 1, 'fine', 'stop'), ('none', 1, 'fine', CAST(NULL AS STRING))"
+
+
+def failure_reasons(s: SparkSession, d: str) -> DataFrame:
+    """Why transcriptions failed: pages, the degenerate ones, and some that hit the limit."""
+    own = pages(s, d).select("source", "page", "text").unionByName(values(s, DEGENERATE, "source, page, text")).withColumn("finish_reason", F.lit("stop"))
+    return Q.failure_reasons(own.unionByName(values(s, REASONS, "source, page, text, finish_reason")), ["source", "page"])
+
+
+def chunk_contexts(s: SparkSession, d: str) -> DataFrame:
+    """Contexts that the stand-in writes to every chunk on its page; even pages are missing."""
+    own = S.page_texts(chunks(s, d).withColumn("image_path", F.lit(None).cast("string"))).where("page % 2 = 1")
+    return V.contextualised(chunks(s, d), own).select("chunk_id", F.sha2("context", 256).alias("sha"))
+
+
+def transcriptions(s: SparkSession, d: str) -> DataFrame:
+    """Pages whose image is their text, read until it is fine or three tries more are over."""
+    own = pages(s, d).select("source", "page", "text").unionByName(values(s, DEGENERATE, "source, page, text"))
+    return V.transcriptions(own.select("source", "page", F.col("text").cast("binary").alias("content"))).select("source", "page", F.sha2("text", 256).alias("sha"))
+
+
+def ingest_events(s: SparkSession, d: str) -> DataFrame:
+    """What an ingest of two sources reports that replace what the store has of them."""
+    new = uploaded(s, d)
+    own = pages(s, d).join(gone(s), "source", "left_semi")
+    found = V.ingest_events(own, new, own.where("page % 2 = 0"), S.removed_counts(chunks(s, d), gone(s)), S.replace_sources(chunks(s, d), new, ["chunk_id"]))
+    return found.withColumn("source", F.coalesce("source", F.lit("-")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         degenerate_pages, damaged_contexts, longest_attempt, char_split, block_split, table_split, chunk_pages, damaged_pages, page_rebuild,
         remove_source, removed_counts, append_chunks, replace_source, sources_in_order, context_reuse, context_pages, merge_pages, replace_pages,
         backfill_pages, resume_targets, transcript_sources, diagram_titles, image_names, ndjson_events, squashed, evidence_verify, blocks_to_pages, page_batches,
+        failure_reasons, chunk_contexts, transcriptions, ingest_events,
     )
 }
 
@@ -281,9 +315,9 @@ ORACLE_SQL = {
     "merge_pages": f"""WITH {PAGES}, a AS (SELECT * FROM pages_ WHERE page % 2 = 0), b AS (SELECT source, page, 'parsed ' || text AS text FROM pages_ WHERE page % 3 = 0 AND page % 7 <> 0)
         SELECT coalesce(a.source, b.source) AS source, coalesce(a.page, b.page) AS page, sha256(coalesce(b.text, a.text)) AS sha FROM a FULL JOIN b ON a.source = b.source AND a.page = b.page""",
     "replace_pages": f"""WITH {CHUNKS}, r AS (
-            SELECT source, page, text, chunk_seq AS place, 0 AS piece FROM chunks WHERE page % 5 <> 1
-            UNION ALL SELECT source, page, t, min(chunk_seq), i FROM chunks, (VALUES ('first', 0), ('second', 1)) v(t, i) WHERE page % 5 = 1 GROUP BY source, page, t, i)
-        SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY place, piece) - 1 AS chunk_seq, sha256(text) AS sha FROM r""",
+            SELECT chunk_id, source, page, text, chunk_seq AS place, 0 AS piece FROM chunks WHERE page % 5 <> 1
+            UNION ALL SELECT NULL, source, page, t, min(chunk_seq), i FROM chunks, (VALUES ('first', 0), ('second', 1)) v(t, i) WHERE page % 5 = 1 GROUP BY source, page, t, i)
+        SELECT chunk_id, source, page, row_number() OVER (ORDER BY place, piece) - 1 AS chunk_seq, sha256(text) AS sha FROM r""",
     "backfill_pages": f"WITH {CHUNKS} SELECT source, page, sha256({joined('text', 'chunk_seq')}) AS sha, 'p.png' AS image_path FROM chunks WHERE source >= 'src5' GROUP BY source, page",
     "resume_targets": f"WITH {PAGES} SELECT source, page FROM pages_ WHERE page % 4 <> 0",
     "transcript_sources": f"WITH {PAGES} SELECT source, count(*) AS n_pages, sha256(string_agg(page::VARCHAR, ',' ORDER BY page)) AS pages_sha FROM pages_ GROUP BY source",
@@ -291,11 +325,14 @@ ORACLE_SQL = {
         SELECT doc_id, substr(coalesce(arg_min(line, i) FILTER (contains(line, 'Illustration')), arg_min(line, i) FILTER (length(line) > 0), ''), 1, 120) AS title FROM l GROUP BY doc_id""",
     "image_names": f"WITH {PAGES} SELECT source, page, image_path FROM pages_",
     "ndjson_events": """SELECT '{"type":"' || event_type || '","id":' || event_id || ',"user":' || user_id || '}' AS line FROM events""",
-    "squashed": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', '', 'g')) AS sha FROM documents",
+    "squashed": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', '', 'g')) AS sha FROM documents",
     "evidence_verify": rf"""WITH {PAGES}, q AS (SELECT item_id AS case_id, regexp_replace(text, '\s+', '', 'g') AS w FROM benchmark)
         SELECT case_id, source, page FROM q, (SELECT source, page, regexp_replace(text, '\s+', '', 'g') AS t FROM pages_) WHERE contains(t, w) AND w <> ''""",
-    "blocks_to_pages": f"""SELECT 'web' AS source, CAST(page_id // 10 + 1 AS INTEGER) AS page,
-            string_agg('# ' || t, {NL} || {NL} ORDER BY page_id) AS text FROM (SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '$', 'S')) AS t FROM pages) WHERE t <> '' GROUP BY ALL
+    "blocks_to_pages": rf"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+        cut AS (SELECT page_id, string_split_regex(t, '\$[^$]{{1,120}}\$') AS outside, regexp_extract_all(t, '\$([^$]{{1,120}})\$', 1) AS inside FROM t),
+        plain AS (SELECT page_id, array_to_string(list_transform(range(1, len(outside) + 1), lambda i: outside[i] || coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            inside[i], '\^\{{?3\}}?', '³', 'g'), '\^\{{?2\}}?', '²', 'g'), '\\times', '×', 'g'), '\\mathrm\{{([^}}]*)\}}', '\1', 'g'), '[{{}}\\]', '', 'g')), '')), '') AS t FROM cut)
+        SELECT 'web' AS source, CAST(page_id // 10 + 1 AS INTEGER) AS page, string_agg(trim('# ' || t), {NL} || {NL} ORDER BY page_id) AS text FROM plain WHERE trim(t) <> '' GROUP BY ALL
         UNION ALL VALUES ('a', 1, 'Intro 235m³/hour here' || {NL} || {NL} || '## Heading'),
                          ('a', 2, 'Caption' || {NL} || '| h | k |' || {NL} || '|---|---|' || {NL} || '| 1 | 2 |' || {NL} || {NL} || '###### Deep')""",
     "page_batches": """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
@@ -309,3 +346,37 @@ ORACLE_SQL["table_split"] = f"""WITH RECURSIVE l AS (SELECT generate_subscripts(
                    CASE WHEN rows > 0 AND n + length(row) + 1 > 1600 THEN 1 ELSE rows + 1 END
             FROM f JOIN l ON l.i = f.i + 1, h)
         SELECT CAST(part AS INTEGER) AS part, CAST(max(n) AS INTEGER) AS n, (SELECT substr(header, 1, 9) FROM h) AS header FROM f WHERE i > 2 GROUP BY part"""
+ORACLE_SQL["chunk_pages"] = rf"""WITH RECURSIVE {PAGES}, every AS (SELECT source, page, text FROM pages_ UNION ALL SELECT * FROM (VALUES {MARKDOWN})),
+        l AS (SELECT source, page, generate_subscripts(string_split(text, {NL}), 1) AS i, unnest(string_split(text, {NL})) AS line FROM every),
+        k AS (SELECT *, length({STRIP.format('line')}) = 0 AS blank, regexp_matches(line, '^\s*\|') AS tab, regexp_matches(line, '^#{{1,6}}\s') AS head FROM l),
+        c AS (SELECT *, CASE WHEN blank OR lag(blank) OVER w IS DISTINCT FROM false OR lag(tab) OVER w IS DISTINCT FROM tab OR head THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY source, page ORDER BY i)),
+        n AS (SELECT *, sum(new) OVER (PARTITION BY source, page ORDER BY i) AS b FROM c),
+        g AS (SELECT source, page, b, string_agg(line, {NL} ORDER BY i) AS block, bool_or(tab) AS tab FROM n WHERE NOT blank GROUP BY source, page, b),
+        row AS (SELECT source, page, b, line, row_number() OVER (PARTITION BY source, page, b ORDER BY i) AS r FROM n JOIN g USING (source, page, b) WHERE NOT blank AND g.tab AND length(block) > 1600),
+        top AS (SELECT source, page, b, string_agg(line, {NL} ORDER BY r) AS header FROM row WHERE r <= 2 GROUP BY ALL),
+        f(source, page, b, r, part, n, rows) AS (SELECT source, page, b, 2, 0, length(header), 0 FROM top
+            UNION ALL SELECT source, page, b, row.r, CASE WHEN rows > 0 AND n + length(line) + 1 > 1600 THEN part + 1 ELSE part END,
+                   CASE WHEN rows > 0 AND n + length(line) + 1 > 1600 THEN length(header) + length(line) + 1 ELSE n + length(line) + 1 END,
+                   CASE WHEN rows > 0 AND n + length(line) + 1 > 1600 THEN 1 ELSE rows + 1 END
+            FROM f JOIN row USING (source, page, b) JOIN top USING (source, page, b) WHERE row.r = f.r + 1),
+        sized AS (SELECT source, page, b, 0 AS part, block AS t FROM g WHERE length(block) <= 1600
+            UNION ALL SELECT source, page, b, part, any_value(header) || {NL} || string_agg(line, {NL} ORDER BY r) FROM f JOIN row USING (source, page, b, r) JOIN top USING (source, page, b) WHERE r > 2 GROUP BY source, page, b, part
+            UNION ALL SELECT source, page, b, i, {STRIP.format('substr(block, CAST(i * 1500 + 1 AS BIGINT), 1600)')} FROM g, LATERAL (SELECT unnest(range(CAST(ceil((length(block) - 100) / 1500) AS INTEGER))) AS i) WHERE length(block) > 1600 AND NOT tab),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY b, part) AS i FROM sized WHERE t <> ''),
+        packed(source, page, i, piece, n) AS (SELECT source, page, i, 0, length(t) FROM p WHERE i = 1
+            UNION ALL SELECT p.source, p.page, p.i, CASE WHEN n + 2 + length(t) <= 800 THEN piece ELSE piece + 1 END, CASE WHEN n + 2 + length(t) <= 800 THEN n + 2 + length(t) ELSE length(t) END
+            FROM packed JOIN p ON p.source = packed.source AND p.page = packed.page AND p.i = packed.i + 1)
+        SELECT source, page, CAST(piece AS INTEGER) AS piece, CAST(length({joined('t', 'i')}) AS INTEGER) AS n, sha256({joined('t', 'i')}) AS sha FROM packed JOIN p USING (source, page, i) GROUP BY source, page, piece"""
+ORACLE_SQL["failure_reasons"] = f"""WITH {PAGES}, every AS (SELECT source, page, text FROM pages_ UNION ALL SELECT * FROM (VALUES {DEGENERATE}) UNION ALL SELECT 'short', 1, 'fine' UNION ALL SELECT 'none', 1, 'fine'), {judged('every')}
+        SELECT source, page, mass || '/' || n_lines || ' repeated lines: ' || substr(top_pattern, 1, 40) || ' x ' || top_count AS reason FROM bad UNION ALL SELECT 'bad', 9, 'length limit'"""
+ORACLE_SQL["chunk_contexts"] = f"""WITH {CHUNKS}, w AS (SELECT chunk_id, trim(substr(list_last(string_split('片段内容：' || {NL} || text, {NL} || {NL})), 1, 120), ' ' || chr(9) || {NL} || chr(13)) AS c FROM chunks)
+        SELECT chunk_id, CASE WHEN c <> '' THEN sha256(c) END AS sha FROM w"""
+ORACLE_SQL["transcriptions"] = f"WITH {PAGES} SELECT source, page, sha256(text) AS sha FROM (SELECT source, page, text FROM pages_ UNION ALL SELECT * FROM (VALUES {DEGENERATE})) WHERE {STRIP.format('text')} <> ''"
+ORACLE_SQL["ingest_events"] = f"""WITH {CHUNKS}, {PAGES}, p AS (SELECT source, count(*) AS n, count(*) FILTER (page % 2 = 0) AS images FROM pages_ WHERE source IN ('src3', 'src7') GROUP BY source),
+        lines AS (SELECT source, 0 AS seq, '{{"type":"page_progress","file":"' || source || '","done":' || n || ',"total":' || n || '}}' AS line FROM p
+            UNION ALL SELECT source, 1, '{{"type":"file_done","file":"' || source || '","pages":' || n || '}}' FROM p
+            UNION ALL SELECT source, 2, '{{"type":"context_progress","done":' || n || ',"total":' || n || '}}' FROM p
+            UNION ALL SELECT source, 3, '{{"type":"replaced","file":"' || source || '","removed":' || n || '}}' FROM p
+            UNION ALL SELECT source, 4, '{{"type":"image_index_progress","done":' || images || ',"total":' || images || '}}' FROM p WHERE images > 0
+            UNION ALL SELECT '-', 5, '{{"type":"complete","size":' || (SELECT count(*) FROM chunks) || ',"sources":[' || (SELECT string_agg('"' || source || '"', ',' ORDER BY source) FROM (SELECT DISTINCT source FROM chunks WHERE source IS NOT NULL)) || ']}}')
+        SELECT seq, source, line FROM lines"""

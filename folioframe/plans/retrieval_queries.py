@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..sources import store as ST
+from ..sources.shared import fresh_path
 from .tables import chunks, image_pages, image_queries, queries, table, values, vectors
 
 IDENTIFIER_ROWS = """(900001, 'where is valve gfv21 and pump p-101'), (900002, 'what does alarm al-01 mean'), (900003, 'no identifier here'), (900004, 'sus316 and gfv2')"""
@@ -73,8 +75,19 @@ def identifier_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def exact_identifier_hits(s: SparkSession, d: str) -> DataFrame:
+    """Chunks that hold an identifier of the query, best score in the words channel first."""
     c, q = identifier_tables(s, d)
-    return R.identifier_hits(c, q, most=3)
+    return R.identifier_hits(c, q, I.bm25_scores(c, q), most=3)
+
+
+def stored_bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    """The words channel over an index that was stored, and made again for one source."""
+    path = fresh_path(s, "knowledge")
+    own = chunks(s, d).select("chunk_id", "chunk_seq", "page", "text", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("context "), "source")).alias("context"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("array<float>").alias("vector"), "source")
+    ST.save("chunks", own, path)
+    ST.save_index(s, path)
+    ST.save_index(s, path, ["src3"])
+    return rounded(I.ranked(I.search_words(ST.load_index(s, path), queries(s, d)).where("score > 0"), I.POOL, "chunk_id"), "score")
 
 
 def assemble_top5(s: SparkSession, d: str) -> DataFrame:
@@ -112,11 +125,12 @@ POSTS = "posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id,
 LENGTHS = "lengths AS (SELECT chunk_id, len(" + TOKENS.format("text") + ") AS dl FROM chunks), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths)"
 WEIGHTS = """raw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, stats GROUP BY term),
     weights AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
-BM25 = f"""{CHUNKS}, {QUERIES_SQL}, {POSTS}, {LENGTHS}, {WEIGHTS},
+SCORED = f"""{POSTS}, {LENGTHS}, {WEIGHTS},
     terms AS (SELECT query_id, unnest(list_distinct({TOKENS.format('query_text')})) AS term FROM queries),
     words AS (SELECT query_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-              FROM terms JOIN weights USING (term) JOIN posts USING (term) JOIN lengths USING (chunk_id), stats GROUP BY ALL),
-    bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM words WHERE score > 0) WHERE rank < 20)"""
+              FROM terms JOIN weights USING (term) JOIN posts USING (term) JOIN lengths USING (chunk_id), stats GROUP BY ALL)"""
+TOP_WORDS = """bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM words WHERE score > 0) WHERE rank < 20)"""
+BM25 = f"{CHUNKS}, {QUERIES_SQL}, {SCORED}, {TOP_WORDS}"
 
 
 def unit(column: str) -> str:
@@ -143,11 +157,13 @@ def fused(most: int, images: bool = True) -> str:
 
 
 
-def identifiers(asked: str, searched: str, most: int) -> str:
+def identifiers(asked: str, searched: str, most: int, scores: str = "") -> str:
+    known = f"LEFT JOIN {scores} USING (query_id, chunk_id)" if scores else ""
+    by_score = "round(coalesce(score, 0), 9) DESC, " if scores else ""
     return rf"""wanted AS (SELECT query_id, t AS identifier FROM (SELECT query_id, unnest(list_distinct({TOKENS.format('query_text')})) AS t FROM {asked})
              WHERE regexp_full_match(t, '[a-z]{{1,6}}[-.]?[0-9]{{1,5}}[a-z0-9.\-ø]*')),
     found AS (SELECT DISTINCT query_id, chunk_id FROM wanted, {searched} WHERE contains(lower(text), identifier)),
-    exact AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) - 1 AS rank FROM found) WHERE rank < {most})"""
+    exact AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {by_score}chunk_id DESC) - 1 AS rank FROM found {known}) WHERE rank < {most})"""
 
 
 NEAR = """hits AS (SELECT query_id, chunk_id FROM vec WHERE rank < 5),
@@ -157,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_stats, corpus_stats, term_weights, query_tokens, bm25_topk, vector_topk, image_topk_pages, rrf_three_channel, hybrid_rrf_topk,
-        exact_identifier_hits, assemble_top5, neighbor_expand, context_blocks, unit_vectors, retrieval_text,
+        exact_identifier_hits, stored_bm25_topk, assemble_top5, neighbor_expand, context_blocks, unit_vectors, retrieval_text,
     )
 }
 
@@ -173,10 +189,11 @@ ORACLE_SQL = {
     "image_topk_pages": f"WITH {CHUNKS}, {QUERIES_SQL}, {IMAGE} SELECT query_id, source, page, round(score, 6) AS score, rank FROM img",
     "rrf_three_channel": f"WITH {BM25}, {VECTOR}, {IMAGE}, {fused(15)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fused",
     "hybrid_rrf_topk": f"WITH {BM25}, {VECTOR}, {fused(5, False)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fused",
-    "exact_identifier_hits": f"""WITH {CHUNKS}, {QUERIES_SQL},
-        asked AS (SELECT query_id, query_text FROM queries UNION ALL SELECT * FROM (VALUES {IDENTIFIER_ROWS})),
-        own AS (SELECT chunk_id, text FROM chunks UNION ALL SELECT col0, col3 FROM (VALUES {IDENTIFIER_CHUNKS})),
-        {identifiers('asked', 'own', 3)} SELECT query_id, chunk_id, rank FROM exact""",
+    "exact_identifier_hits": f"""WITH chunks AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT col0, col3 FROM (VALUES {IDENTIFIER_CHUNKS})),
+        queries AS (SELECT item_id AS query_id, text AS query_text FROM benchmark UNION ALL SELECT * FROM (VALUES {IDENTIFIER_ROWS})), {SCORED}, {identifiers('queries', 'chunks', 3, 'words')}
+        SELECT query_id, chunk_id, rank FROM exact""",
+    "stored_bm25_topk": f"""WITH chunks AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'context ' || source || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents), {QUERIES_SQL}, {SCORED}, {TOP_WORDS}
+        SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25""",
     "assemble_top5": f"""WITH {BM25}, {VECTOR}, {IMAGE}, {fused(15)}, {identifiers('queries', 'chunks', 1)},
         line AS (SELECT query_id, chunk_id, -1 AS place, 1.0::DOUBLE AS score FROM exact
                  UNION ALL SELECT query_id, chunk_id, rank, score FROM fused f WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.query_id = f.query_id AND e.chunk_id = f.chunk_id)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +10,8 @@ from ..operators import conversation as C
 from ..operators import diagram as D
 from ..operators import evaluation as E
 from ..operators import index as I
+from ..operators import raster as R
+from ..operators import services as V
 from .retrieval_queries import BM25
 from .tables import chunks, queries, table, values
 
@@ -50,22 +52,20 @@ def summary_transcript(s: SparkSession, d: str) -> DataFrame:
 
 def load_conversation(s: SparkSession, d: str) -> DataFrame:
     """Messages of some conversations, one of which doesn't exist."""
-    return messages(s, d).join(summaries(s).select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "role", "text")
+    return C.messages_of(messages(s, d), summaries(s)).select("conv_id", "turn", "role", "text")
 
 
 def load_summary(s: SparkSession, d: str) -> DataFrame:
-    own = messages(s, d).select("conv_id").distinct().join(summaries(s), "conv_id", "left")
-    return own.select("conv_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("summary_upto", F.lit(0)).alias("summary_upto"))
+    return C.summaries_of(messages(s, d), summaries(s))
 
 
 def delete_conversation(s: SparkSession, d: str) -> DataFrame:
-    return messages(s, d).join(summaries(s).select("conv_id"), "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.deleted(messages(s, d), summaries(s)).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def conversation_list(s: SparkSession, d: str) -> DataFrame:
     """Conversations by their last event, newest first; the place is part of the result."""
-    own = messages(s, d).groupBy("conv_id").agg(F.max("turn").alias("updated_at"))
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "conv_id")))
+    return C.listed(messages(s, d).groupBy("conv_id").agg(F.max("turn").alias("updated_at")))
 
 
 def save_conversation(s: SparkSession, d: str) -> DataFrame:
@@ -165,10 +165,57 @@ def joined_ends(s: SparkSession, d: str) -> DataFrame:
 
 
 def connected_runs(s: SparkSession, d: str) -> DataFrame:
-    """Pipe runs; rows only, tests hold components against a plain union-find."""
     return D.pipe_runs(segment_rows(s, d), ["page"])
 
 
+def runs_by_size(s: SparkSession, d: str) -> DataFrame:
+    """The places of runs on their page, most segments first."""
+    return D.runs_in_order(D.pipe_runs(segment_rows(s, d), ["page"]), ["page"]).select("page", "run", "segments", "place")
+
+
+def symbol_counts(s: SparkSession, d: str) -> DataFrame:
+    """Counts of hits by kind; line items stand for hits."""
+    own = table(s, d, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("page"), F.col("l_linestatus").alias("kind"))
+    return R.symbol_counts(own)
+
+
+def eval_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Hits by kind of case: every third is a tag case, the next has no kind."""
+    kind = F.when(F.col("item_id") % 3 == 0, F.lit("tag")).when(F.col("item_id") % 3 == 2, F.lit("multi"))
+    cases = table(s, d, "benchmark").select(F.col("item_id").alias("case_id"), kind.alias("kind"))
+    return E.kind_hits(E.hit_ranks(*result_rows(s, d)), cases)
+
+
+def prepared_queries(s: SparkSession, d: str) -> DataFrame:
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("earlier turns").alias("history"))
+    return V.prepared_queries(asked)
+
+
+def session_summaries(s: SparkSession, d: str) -> DataFrame:
+    found = V.summarised(messages(s, d), summaries(s))
+    return found.select("conv_id", F.sha2("summary", 256).alias("sha"), "upto")
+
+
+def page_tags(s: SparkSession, d: str) -> DataFrame:
+    """Documents as tiles that show their text: a page of each source and remainder, three runs."""
+    tiles = table(s, d, "documents").select(
+        "source", (F.col("doc_id") % 7).cast("int").alias("page"), (F.col("doc_id") % 3).cast("int").alias("run"), F.lit(1).alias("tile"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+    )
+    found = V.page_tags(V.tile_readings(tiles))
+    return found.select("source", "page", F.array_join("stable", " ").alias("stable"), F.array_join("unstable", " ").alias("unstable"))
+
+
+def answer_events(s: SparkSession, d: str) -> DataFrame:
+    """Answers to the benchmark's items; each has the two chunks before its number as its sources."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("no context").alias("context"), F.lit(None).cast("array<string>").alias("images"))
+    hits = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("place"))
+    hits = hits.where("place = 1 OR query_id % 2 = 0").select(
+        "query_id", "place", F.lit("《m》").alias("source"), (F.col("query_id") + F.col("place")).alias("page"), F.lit('a "quoted" text').alias("text"), F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("image_path"),
+    )
+    return V.answer_events(asked, hits)
+
+
 SWATCHES = "(1, '1.0,0.0,0.0', 10, 100, 30, 100), (2, '0.0,0.0,1.0', 10, 120, 30, 120), (3, '0.0,0.0,1.0', 10, 140, 30, 140), (4, '0.0,1.0,0.0', 10, 160, 200, 160), (5, '0.5,0.5,0.5', 10, 181, 30, 182)"
 LINES = "('Fuel Gas', 40, 96, 80, 104), ('Air', 60, 97, 90, 103), ('Fresh Water', 35, 116, 90, 124), ('Sea Water', 35, 138, 90, 146), ('Far', 95, 116, 120, 124), ('DRAFT MANUAL FOR REVIEW', 31, 118, 90, 122), ('Steam', 31, 184, 60, 190)"
 
@@ -205,6 +252,7 @@ QUERIES = {
         recent_turns, conversation_titles, summary_horizon, session_history, summary_transcript, load_conversation, load_summary, delete_conversation,
         conversation_list, save_conversation, eval_ranks, eval_recall_mrr, eval_coverage, eval_coverage_summary, tag_extraction, tag_votes, vote_totals,
         normalize_tags, snap_vocabulary, tile_boxes, render_zoom, joined_ends, connected_runs, legend_match, media_summary, diagram_chunk_text,
+        runs_by_size, symbol_counts, eval_kinds, prepared_queries, session_summaries, page_tags, answer_events,
     )
 }
 
@@ -218,6 +266,14 @@ RESULTS = f"""{BM25}, results AS (SELECT query_id AS case_id, rank + 1 AS place,
     ranks AS (SELECT case_id, (SELECT min(place) FROM results r JOIN wanted w USING (case_id, source, page) WHERE r.case_id = c.case_id) AS rank FROM (SELECT DISTINCT case_id FROM wanted) c),
     cover AS (SELECT case_id, count(*) AS wanted, count(h) AS found, count(h) / count(*) AS coverage
               FROM wanted LEFT JOIN (SELECT DISTINCT case_id, source, page, 1 AS h FROM results) USING (case_id, source, page) GROUP BY case_id)"""
+LINES_SQL = f"""l AS (SELECT 0 AS page, * FROM (VALUES {SEGMENTS}) t(seg, x0, y0, x1, y1)
+            UNION ALL SELECT o_orderkey // 100 + 1, o_orderkey + 1000, o_orderkey * 7919 % 101, o_custkey * 31 % 103, o_orderkey * 7919 % 101 + 4, o_custkey * 31 % 103 + 2 FROM orders),
+        e AS (SELECT page, seg, x0 AS x, y0 AS y FROM l UNION ALL SELECT page, seg, x1, y1 FROM l),
+        near AS (SELECT DISTINCT p.seg AS a, q.seg AS b FROM e p JOIN e q ON p.page = q.page AND p.seg <> q.seg AND abs(p.x - q.x) < 3 AND abs(p.y - q.y) < 3),
+        reach(a, b) AS (SELECT seg, seg FROM l UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+        member AS (SELECT a AS seg, min(b) AS run FROM reach GROUP BY a),
+        runs AS (SELECT page, run, count(*) AS segments, CAST(min(least(x0, x1)) AS DOUBLE) AS x0, CAST(min(least(y0, y1)) AS DOUBLE) AS y0,
+                        CAST(max(greatest(x0, x1)) AS DOUBLE) AS x1, CAST(max(greatest(y0, y1)) AS DOUBLE) AS y1 FROM l JOIN member USING (seg) GROUP BY page, run)"""
 TAG_RE = r"\b[A-Z]{1,6}[-\s]?[0-9]{1,6}(?:-[0-9ØΦ][0-9.X×]*)?[A-Z]{0,2}\b"
 READINGS = rf"""doc_tags AS (SELECT DISTINCT doc_id, source, replace(tag, ' ', '') AS tag FROM (SELECT doc_id, source, unnest(regexp_extract_all(upper(text), '{TAG_RE}')) AS tag FROM documents)),
     readings AS (SELECT 'fixture' AS source, page, run, tile, tag FROM (VALUES {TAGS}) t(page, run, tile, tag)
@@ -272,4 +328,27 @@ ORACLE_SQL = {
     "media_summary": "SELECT 'm' AS source, 1 AS page, 'Air' AS medium, 3 AS runs, 8 AS segments",
     "diagram_chunk_text": f"""WITH {READINGS} SELECT source, page, '【图纸】Title' || chr(10) || '出处：' || source || ' 第' || page || '页' || chr(10) || '图中标注的介质管路：Air' || chr(10)
         || '图上识别出的设备位号（共 ' || count(*) || ' 个，以原图为准）：' || chr(10) || string_agg(tag, ' ' ORDER BY tag) AS text FROM votes WHERE stable GROUP BY source, page""",
+    "connected_runs": f"WITH RECURSIVE {LINES_SQL} SELECT * FROM runs",
+    "runs_by_size": f"WITH RECURSIVE {LINES_SQL} SELECT page, run, segments, CAST(row_number() OVER (PARTITION BY page ORDER BY segments DESC, run) AS INTEGER) AS place FROM runs",
+    "symbol_counts": "SELECT l_returnflag AS source, l_linenumber AS page, l_linestatus AS kind, count(*) AS count FROM lineitem GROUP BY ALL",
+    "eval_kinds": f"""WITH {RESULTS} SELECT CASE item_id % 3 WHEN 0 THEN 'tag' WHEN 2 THEN 'multi' ELSE 'single' END AS kind, count(*) AS cases, count(rank) AS hits
+        FROM benchmark LEFT JOIN ranks ON case_id = item_id GROUP BY ALL""",
+    "prepared_queries": """WITH q AS (SELECT item_id, text, list_aggregate(list_filter(string_split(text, ' '), lambda w: length(w) > 6), 'string_agg', ' ') AS k FROM benchmark)
+        SELECT item_id AS query_id, trim(text) AS search_query, CASE WHEN coalesce(k, '') = '' THEN trim(text) ELSE trim(text) || ' ' || trim(k) END AS keyword_query FROM q""",
+    "session_summaries": f"""WITH {MSG}, {SUM}, due AS (SELECT conv_id, count(*) - 6 AS upto FROM conversations c LEFT JOIN su USING (conv_id) GROUP BY conv_id HAVING greatest(0, count(*) - 6) > coalesce(max(summary_upto), 0)),
+        last AS (SELECT conv_id, upto, CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || '：' || substr(text, 1, 600) AS line FROM m JOIN due USING (conv_id) WHERE p = upto)
+        SELECT conv_id, sha256(trim(substr(list_last(string_split(line, chr(10) || chr(10))), 1, 120))) AS sha, upto FROM last""",
+    "page_tags": rf"""WITH {READINGS}, own AS (SELECT DISTINCT source, CAST(doc_id % 7 AS INTEGER) AS page, doc_id % 3 AS run, tag FROM doc_tags),
+        fixed AS (SELECT DISTINCT source, page, run, regexp_replace(tag, '-0([0-9])', '-Ø\1', 'g') AS tag FROM own WHERE NOT regexp_matches(tag, '^(NOTE|DN|SUS|CLASS|PAGE|FIG|NO|REV|SCALE|TYPE|MAX|MIN)[0-9]', 'i')),
+        clean AS (SELECT * FROM fixed f WHERE NOT EXISTS (SELECT 1 FROM fixed g WHERE g.source = f.source AND g.page = f.page AND g.run = f.run AND g.tag <> f.tag AND starts_with(g.tag, f.tag))),
+        runs AS (SELECT source, page, count(DISTINCT run) AS runs FROM own GROUP BY ALL),
+        v AS (SELECT source, page, tag, count(*) >= least(2, max(runs)) AS stable FROM clean JOIN runs USING (source, page) GROUP BY source, page, tag)
+        SELECT source, page, coalesce(string_agg(tag, ' ' ORDER BY tag) FILTER (stable), '') AS stable, coalesce(string_agg(tag, ' ' ORDER BY tag) FILTER (NOT stable), '') AS unstable
+        FROM runs LEFT JOIN v USING (source, page) GROUP BY source, page""",
+    "answer_events": """WITH h AS (SELECT item_id, i FROM benchmark, (VALUES (1), (2)) t(i) WHERE i = 1 OR item_id % 2 = 0),
+        f AS (SELECT item_id, string_agg('{"source":"《m》","page":' || (item_id + i) || ',"text":"a \\"quoted\\" text","score":0.5,"image_path":null}', ',' ORDER BY i) AS s FROM h GROUP BY item_id),
+        d AS (SELECT item_id, i, (string_split_regex('手册片段：' || chr(10) || 'no context' || chr(10) || chr(10) || '用户问题：' || text, '\\s+'))[i] AS w FROM benchmark, (VALUES (1), (2), (3)) t(i))
+        SELECT item_id AS query_id, 0 AS seq, '{"type":"sources","sources":[' || s || ']}' AS line FROM f
+        UNION ALL SELECT item_id, i, '{"type":"delta","text":' || to_json(w || ' ') || '}' FROM d
+        UNION ALL SELECT item_id, 4, '{"type":"done"}' FROM benchmark""",
 }
