@@ -1,6 +1,7 @@
 """Toxicity scores by a convolutional text classifier, trained here in numpy.
 
-Words are hashed into a fixed number of buckets, each with an embedding; filters of
+Words, cut to their first letters so that forms of one word are one, are hashed into a fixed number of
+buckets, each with an embedding; filters of
 several widths run over the text, each filter's maximum is a feature, and a linear layer
 gives the score.  An embedding's first place starts as the evidence that the training
 rows hold for the bucket (the signed root of the log-likelihood ratio), the rest at random.
@@ -33,6 +34,8 @@ DIMENSIONS = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 CUT = 0.7
+#: Letters of a word that count.
+STEM = 5
 #: A bucket that fewer training rows hold keeps a zero embedding.
 LEAST_ROWS = 3
 WORDS = re.compile(r"[^\W\d_]+")
@@ -51,8 +54,8 @@ class Buckets(dict):
 
 
 def word_ids(text: str, buckets: Buckets) -> np.ndarray:
-    """Buckets of the words in lower case, padded to the widest filter."""
-    ids = [buckets[w] for w in WORDS.findall(text.lower())]
+    """Buckets of the words' stems in lower case, padded to the widest filter."""
+    ids = [buckets[w[:STEM]] for w in WORDS.findall(text.lower())]
     ids += [0] * (max(WIDTHS) - len(ids))
     return np.array(ids, np.int32)
 
@@ -241,8 +244,8 @@ def train(
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model may learn from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows that no model may learn from; a null id counts as the empty text and isn't one."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -250,12 +253,14 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Fits on at most ``most_positive`` and ``most_negative`` labelled rows that aren't held out.
 
     They are the first in order of a hash of the id, so the same rows are chosen each time.
-    Labels that are neither 0 nor 1 and null ids are left out.
+    Labels that are neither 0 nor 1 and null ids are left out.  Of rows that repeat an id the one with the least
+    text counts, so what comes to the driver is one text for each chosen label.
     """
     able = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     order = [F.xxhash64("id"), F.col("id"), F.col("y")]
     chosen = able.where("y = 1").orderBy(*order).limit(most_positive).unionByName(able.where("y = 0").orderBy(*order).limit(most_negative))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id")
+    found = found.groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "y", "r.text", "r.lang")
     rows = sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["y"], r["text"] or ""))
     counts = dict(able.where("y IN (0, 1)").groupBy("y").count().collect())
     negatives = max(1, counts.get(0, 0) / most_negative) / max(1, counts.get(1, 0) / most_positive)

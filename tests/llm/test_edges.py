@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, substring_dedup, topk_search
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, substring_dedup, topk_search, toxicity
 
 
 def docs(spark, rows):
@@ -327,3 +327,41 @@ def test_gram_of_ten_thousand_contexts(spark):
     found = substring_dedup.remove_repeats(docs(spark, rows)).orderBy("doc_id").collect()
     assert [w[:4] for w in want] == [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found]
     assert 0 < sum(w[1] > 0 for w in want) < len(want)
+
+
+# Toxicity
+
+
+def test_toxicity_on_real_labels(spark, sf_dir):
+    """Held-out rows of the larger table, by language."""
+    folder = f"{sf_dir.rsplit('/', 1)[0]}/sf0.1"
+    df, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train_on(df, labels)
+    held = df.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("doc_id", "text", "lang", "toxic")
+    found = toxicity.score(held, model).withColumn("own", toxicity.rejected(model, F.col("lang"), F.col("score"))).collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in found)
+
+    def shares(rows, decide):
+        toxic, clean = ([decide(r) for r in rows if r.toxic == y] for y in (1, 0))
+        return sum(toxic) / len(toxic), sum(clean) / len(clean)
+
+    caught, wronged = shares(found, lambda r: r.score >= toxicity.CUT)
+    assert caught >= 0.9 and wronged <= 0.03
+    for lang in ("de", "en", "es", "fr"):
+        rows = [r for r in found if r.lang == lang]
+        for decide in (lambda r: r.score >= toxicity.CUT, lambda r: r.own):
+            caught, wronged = shares(rows, decide)
+            assert caught >= 0.8 and wronged <= 0.06, lang
+    assert set(model.cuts) <= {"de", "en", "es", "fr"} and all(0.5 <= c <= 0.9 for c in model.cuts.values())
+
+
+def test_toxicity_of_odd_ids(spark, sf_dir):
+    rows = [(1, "idiot scum", "en"), (1, "another text", "en"), (None, "no id", None), (2, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.train_on(df, labels)
+    found = toxicity.score(df.withColumn("score", F.lit("clash")), model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    assert len(found) == 4 and all(0 <= r.score <= 1 and r.held is not None for r in found)
+    query = registry.op5_toxicity(spark, sf_dir).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in query)
+    assert len(query) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
