@@ -9,11 +9,16 @@ reaches the other's home, so comparing per anchor finds every link.
 
 Equal fingerprints are one row from the start.  An anchor doesn't return its pairs but a
 tree for each group that hangs together in it: at most one edge for each fingerprint.
+
+An anchor with very many fingerprints is split before they are compared: of T + 1 segments that a
+half is cut into, two fingerprints that link agree in one at least, so each goes to a part for every
+segment of the other half, and if a part is still too full, of the anchor's own half.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +33,8 @@ from .components import connected_components
 
 CODE_BITS = 31
 SEED = 42
-#: Cells up to here are compared all with all, in blocks; larger ones look up the neighbours of each member.
+#: Fingerprints of a cell that are compared in one task; larger cells are split.  Of these, all are compared with all, in
+#: blocks; where a cell can't be split further, the neighbours of each member are looked up.
 DENSE_CELL = 20_000
 BLOCK = 1 << 16
 
@@ -148,40 +154,84 @@ def cell_edges(cells: np.ndarray, members: np.ndarray, homes: np.ndarray, thresh
         yield from trees(bits[start : start + size], threshold)
 
 
-def fingerprint_links(prints: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) that join all distinct fingerprints (long column fp) linked at ``threshold`` or fewer bits."""
-    spread = StructType([StructField("cell", LongType()), StructField("fp", LongType()), StructField("home", LongType())])
+def split_cells(cells: DataFrame, threshold: int, other: bool) -> DataFrame:
+    """Cells (cell, fp, home) by the bits of each segment of a half: the one that isn't the cell's, or its own.
 
-    def replicate(batches):
+    Where a fingerprint is home doesn't matter any more: all links of a cell lie in its parts.
+    """
+    n = threshold + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(values), BLOCK):
-                cells, members, homes = replicas(np.ascontiguousarray(values[at : at + BLOCK]), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(members), pa.array(homes.astype(np.int64))], spread.names)
+            cell, fp, half = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            bits = fp.view(np.uint64) >> (32 * ((half + other) % 2)).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            for i in range(n):
+                low, high = 32 * i // n, 32 * (i + 1) // n
+                part = bits >> np.uint64(low) & np.uint64((1 << (high - low)) - 1) | np.uint64(i << 40 | other << 44)
+                key = mixed(cell.view(np.uint64) ^ mixed(part)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(np.ones(len(fp), np.int64)), pa.array(half)], CELL_NAMES)
+
+    return cells.select(*CELL_NAMES).mapInArrow(run, CELLS)
+
+
+CELLS, CELL_NAMES = "cell long, fp long, home long, half long", ["cell", "fp", "home", "half"]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """One to one, spread over all bits."""
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
-    def compare(batches):
-        held = [np.zeros(0, np.int64)] * 3
+
+def cell_links(cells: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) of whole cells; each cell lies in one task."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            held = [c[cut:] for c in columns]  # the last cell may go on in the next batch
-            yield from edges_of([c[:cut] for c in columns])
-        yield from edges_of(held)
-
-    def edges_of(columns):
+            if held and len(columns[0]) and columns[0][0] == columns[0][-1] == held[0][0][-1]:
+                held.append(columns)  # one cell goes on through the whole batch
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held = [[c[cut:] for c in columns]] if len(columns[0]) else held
+            yield from edges_of(whole)
+        if held:
+            yield from edges_of([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def edges_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(columns[0]) > 1:
             found = list(cell_edges(*columns, threshold))
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return (
-        prints.select("fp")
-        .mapInArrow(replicate, spread)
-        .repartition(scan_partitions(prints.sparkSession), "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(compare, "a long, b long")
-        .distinct()
-    )
+    dealt = cells.select("cell", "fp", "home").repartition(scan_partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def fingerprint_links(prints: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) that join all distinct fingerprints (long column fp) linked at ``threshold`` or fewer bits."""
+
+    def replicate(batches):
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(values), BLOCK):
+                cells, members, homes = replicas(np.ascontiguousarray(values[at : at + BLOCK]), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells, members, homes.astype(np.int64), cells >> CODE_BITS)], CELL_NAMES)
+
+    cells = prints.select("fp").mapInArrow(replicate, CELLS)
+    links = []
+    for other in (True, False, None):
+        counts = cells.groupBy("cell").count()
+        large = written(counts.where(F.col("count") > DENSE_CELL).select("cell"), "large-cells") if other is not None else None
+        if large is None or large.isEmpty():
+            links.append(cell_links(cells, threshold))
+            break
+        links.append(cell_links(cells.join(large, "cell", "left_anti"), threshold))
+        cells = written(split_cells(cells.join(large, "cell", "left_semi"), threshold, other), "split-cells")
+    return reduce(DataFrame.unionAll, links).distinct()
 
 
 def simhash_groups(
