@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -79,6 +81,20 @@ def scan_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Rows that are Python values at a time.
+ROWS_AT_ONCE = 512
+
+
+def give_back_memory() -> None:
+    """Returns what is free to the system: idle Python workers live on, and would keep it from the next step."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def append_columns(
     df: DataFrame,
     source: Column,
@@ -88,8 +104,9 @@ def append_columns(
     """All columns of ``df`` (those named like a field are replaced) and ``fields``, made by Python.
 
     ``maker`` is called once in each task and returns a function from the values of
-    ``source`` (one batch) to a list of values for each field.  Rows pass through in
-    Arrow batches, so a task holds one batch at a time; nothing is shuffled.
+    ``source`` (some rows) to a list of values for each field.  Rows pass through in
+    Arrow batches, of which ``ROWS_AT_ONCE`` become Python values at a time; nothing is shuffled.
+    At its end a task gives the memory back that it needed.
     """
     kept = df.drop(*fields.names)
     value = free_name(kept, "__value")
@@ -98,9 +115,7 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             work = work or maker()
             place = batch.schema.get_field_index(value)
             made = work(batch.column(place).to_pylist())
@@ -108,5 +123,7 @@ def append_columns(
             names = [n for n in batch.schema.names if n != value]
             columns += [pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *arrow.names])
+        del work
+        give_back_memory()
 
     return kept.withColumn(value, source).mapInArrow(run, shaped)

@@ -42,13 +42,12 @@ def row_digest(text_col: str) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, line, words, text, h, g): every line, counted from 0, with its words, and these joined and hashed."""
+    """(id, digest, line, words, h, g): every line, counted from 0, with its words and their hash."""
     lines = docs.select(
         F.col(f"`{id_col}`").alias("id"), row_digest(text_col).alias("digest"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "text")
     )
     worded = lines.select("id", "digest", "line", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
-    joined = worded.withColumn("text", F.array_join("words", " "))
-    return joined.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit("second"), "text"))
+    return worded.withColumn("h", F.xxhash64("words")).withColumn("g", F.xxhash64(F.lit("second"), "words"))
 
 
 def half_keys(words: Column) -> Column:
@@ -57,8 +56,8 @@ def half_keys(words: Column) -> Column:
 
     def pair(h: Column) -> list[Column]:
         return [
-            F.xxhash64(F.lit("first"), h, F.array_join(F.slice(words, F.lit(1), h), " ")),
-            F.xxhash64(F.lit("last"), h, F.array_join(F.slice(words, n - h + 1, h), " ")),
+            F.xxhash64(F.lit("first"), h, F.slice(words, F.lit(1), h)),
+            F.xxhash64(F.lit("last"), h, F.slice(words, n - h + 1, h)),
         ]
 
     return F.array_distinct(F.array(*pair(F.floor(n / 2).cast("int")), *pair(F.floor((n - 1) / 2).cast("int"))))
@@ -139,10 +138,10 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, fi
         mark_collisions(keys, "key", halves, filter_bits, "hit").where("hit").groupBy("h").agg(F.count(F.lit(1)).alias("c")), "line-candidates"
     )
     chosen = written(collision_bitmap(candidates, "h", filter_bits), "line-bitmap")
-    again = line_rows(docs, id_col, text_col).where(F.size("words") >= least_words).drop("words")
+    again = line_rows(docs, id_col, text_col).where(F.size("words") >= least_words)
     again = mark_collisions(again, "h", chosen, filter_bits, "hit").where("hit")
-    distinct = again.groupBy(*HASH).agg(F.min(F.struct("id", "digest", "line")).alias("place"), F.any_value("text").alias("text"))
-    distinct = written(distinct.select(*HASH, "place", F.split("text", " ").alias("words")), "line-texts")
+    distinct = again.groupBy(*HASH).agg(F.min(F.struct("id", "digest", "line")).alias("place"), F.any_value("words").alias("words"))
+    distinct = written(distinct.select(*HASH, "place", "words"), "line-texts")
     counted = variants(distinct).groupBy("key").count().where("count > 1").select("key")
     met = written(collision_bitmap(counted, "key", filter_bits), "line-variants")
     rows = written(mark_collisions(variants(distinct), "key", met, filter_bits, "hit").where("hit").drop("hit"), "line-keys")

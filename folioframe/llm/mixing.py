@@ -316,7 +316,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     row = F.struct(*[F.col(f"`{c}`").alias(k) for k, c in zip(key, (id_col, names["digest"], source_col, names["copy"]), strict=True)])
     return (
-        rows.join(found, row.eqNullSafe(F.col(inner["row"])))
+        rows.join(found.hint("merge"), row.eqNullSafe(F.col(inner["row"])))  # grows with the corpus: never broadcast
         .withColumn(text_col, F.when(F.col(inner["taken"]) == F.col(inner["size"]), F.col(f"`{text_col}`")).otherwise(cut))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
@@ -334,7 +334,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(pieces.groupBy(F.struct(*key).alias("row")).agg(F.collect_list(held).alias("held")), "mix-held")
     row = F.struct(*[F.col(f"`{c}`").alias(k) for k, c in zip(key, (id_col, names["digest"], source_col, names["copy"]), strict=True)])
     texts = rows.select(row.alias("of"), text_or_empty(text_col).alias("text"))
-    each = texts.join(found, F.col("of").eqNullSafe(F.col("row"))).select("row.source", F.explode("held").alias("p"), piece_words(F.col("text")).alias("all"))
+    each = texts.join(found.hint("merge"), F.col("of").eqNullSafe(F.col("row"))).select("row.source", F.explode("held").alias("p"), piece_words(F.col("text")).alias("all"))
     piece = F.transform(F.slice("all", (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), lambda w: F.regexp_extract(w, WORD_PATTERN, 0))
     parts = each.select("source", "p.shard", "p.slot", "p.pass", "p.block", F.struct(F.col("p.start").alias("start"), F.col("p.first").alias("first"), piece.alias("words")).alias("part"))
     together = F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["words"]))

@@ -47,7 +47,7 @@ class Buckets(dict):
     """Word to bucket, remembered up to a fixed number; bucket 0 is left for padding."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
         return found
