@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, written
 
-#: Bits per key of a level and hash functions: about 2 % mistakes.
+#: Fewest bits per key of a level (about 2 % mistakes), and hash functions.
 BITS_PER_KEY, HASHES = 8, 5
 BUCKET_BITS = 32768
 #: Largest level, in bytes, that is sent to the tasks; a longer list must be split by host first.
@@ -73,6 +73,16 @@ def places(key: Column, level: int, bits: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(key, F.lit(level * HASHES + h)), F.lit(bits)) for h in range(HASHES)])
 
 
+def level_bits(n: int, others: int) -> int:
+    """Bits of a level of ``n`` keys that ``others`` are held against: so many that about n of these pass by mistake.
+
+    So the next level has about as many keys, and no level grows with the universe but by the logarithm of its size.
+    """
+    rate = (n / max(n, others)) ** (1 / HASHES)
+    per_key = HASHES / -math.log(1 - rate) if rate < 1 else 0
+    return max(64, math.ceil(n * max(BITS_PER_KEY, per_key)))
+
+
 def level_bitmap(keys: DataFrame, level: int, bits: int) -> np.ndarray:
     """The level's bytes: built by the tasks, of the size that was checked before."""
     bit = keys.select(F.explode(places(F.col("key"), level, bits)).alias("bit"))
@@ -136,12 +146,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     spark = universe.sparkSession
     cascade = Cascade([])
     encoded, other = listed.select("key").distinct(), universe.join(listed.select("key").distinct(), "key", "left_anti")
+    others = universe.count()
     while True:
         encoded = written(encoded, "cascade-keys")
         n = encoded.count()
         if n == 0:
             break
-        bits = max(64, n * BITS_PER_KEY)
+        bits, others = level_bits(n, others), n
         if bits > MOST_BYTES * 8:
             raise ValueError(f"{n} keys make a level too large to send; split the list")
         level = len(cascade.levels)

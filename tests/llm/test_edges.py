@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, substring_dedup, topk_search, toxicity
+from folioframe.llm import exact_dedup, line_dedup, mixing, registry, secrets, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
 
 
 def docs(spark, rows):
@@ -365,3 +365,25 @@ def test_toxicity_of_odd_ids(spark, sf_dir):
     query = registry.op5_toxicity(spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in query)
     assert len(query) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+# URL filter
+
+
+def test_levels_follow_the_list_not_the_universe(spark):
+    sizes = [url_filter.level_bits(5, n) for n in (5, 10**3, 10**6, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[-1] < 20_000
+    universe = spark.range(200_000).select(F.col("id").cast("string").alias("key"))
+    cascade = url_filter.build_cascade(universe.where("key IN ('7', '70000', '199999')"), universe)
+    assert sum(bits for bits, _ in cascade.levels) < 20_000
+    found = universe.groupBy().agg(F.collect_list("key").alias("k")).select("k", cascade.listed(F.col("k")).alias("x")).first()
+    assert [k for k, x in zip(found.k, found.x) if x] == ["7", "70000", "199999"]
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "http://com/en/x", "a")] * 3 + [(1, "http://com/en/x", "b"), (1, None, "c"), (None, "http://org/es/", "d"), (2, "http://" + "a." * 5000 + "net/de/" + "x" * 9000, "e")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    found = url_filter.filter_urls(df, registry.URL_RULES)
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in found.collect()), key=repr) == sorted(
+        [(1, "com/en/", "block")] * 4 + [(1, None, "allow"), (None, "org/es/", "block"), (2, "net/de/", "allow")], key=repr
+    )
