@@ -387,3 +387,91 @@ def test_repeated_pages(spark):
     assert sorted(((r.page_id, r.rule, r.verdict) for r in found.collect()), key=repr) == sorted(
         [(1, "com/en/", "block")] * 4 + [(1, None, "allow"), (None, "org/es/", "block"), (2, "net/de/", "allow")], key=repr
     )
+
+
+# Registered queries against plain computations over the whole table
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_simhash_query(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    prints = {}
+    for i, t in texts.items():
+        words = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {i: i for i in prints}
+    ids = sorted(prints)
+    for _ in ids:
+        before = dict(root)
+        for a in ids:
+            for b in ids:
+                if (prints[a] ^ prints[b]).bit_count() <= 2:
+                    root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    found = registry.op9_simhash(spark, sf_dir).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {i: (f"{prints[i]:016x}", root[i]) for i in ids} and len(found) == len(ids)
+
+
+def test_mixing_query(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    sizes = {r.doc_id: len(words_of(r.text or "")) for r in rows}
+    source = {r.doc_id: r.source for r in rows}
+    total = collections.Counter()
+    for i, n in sizes.items():
+        total[source[i]] += n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(total.values()), set(order)
+    while True:
+        part = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if part[s] > 2 * total[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * total[s] for s in over}
+        left -= sum(2 * total[s] for s in over)
+        free -= over
+    target |= part
+    found = registry.op3_mixing(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in found) == sorted(sizes)
+    taken = collections.Counter()
+    for r in found:
+        own = source[r.doc_id]
+        assert r["size"] == sizes[r.doc_id] and r.source_size == total[own] and abs(r.target - target[own]) < 1e-6 * max(1, target[own])
+        assert 0 <= r.taken <= 2 * r["size"] and (r.first_shard is None) == (r.taken == 0)
+        taken[own] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert sorted(found) == sorted(registry.op3_mixing(spark, sf_dir).collect())
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    tail = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return head + tail >= max(len(a), len(b)) - 1
+
+
+def test_line_query(spark, sf_dir):
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    by_size, seen, want = collections.defaultdict(list), set(), {}
+    for i, t in texts:
+        gone = []
+        for k, line in enumerate(t.split("\n")):
+            words = tuple(words_of(line))
+            if not words:
+                continue
+            near = len(words) >= 8 and any(one_edit(v, words) for n in (-1, 0, 1) for v in by_size[len(words) + n] if len(v) >= 8)
+            if words in seen or near:
+                gone.append(k)
+            if words not in seen:
+                seen.add(words)
+                by_size[len(words)].append(words)
+        want[i] = gone
+    found = {r.doc_id: [int(x) for x in r.dropped.split(",") if x] for r in registry.op8_line_dedup(spark, sf_dir).collect()}
+    assert found == want and any(want.values())
