@@ -14,7 +14,3 @@ def l2_normalised(vector: Column) -> Column:
     """Unit vector; null for null and zero vectors, which no search can rank."""
     length = norm(vector)
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
-
-
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

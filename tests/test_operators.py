@@ -531,3 +531,12 @@ def test_ingest_without_chunks_reports_an_error(spark):
     empty = spark.createDataFrame([], "source string, page int")
     found = V.ingest_events(empty, empty, empty, spark.createDataFrame([], "source string, removed long"), empty).collect()
     assert [json.loads(r.line)["type"] for r in found] == ["error"]
+
+
+def test_cases_in_one_form(spark):
+    schema = "q string, source string, page int, pages array<int>, kind string"
+    cases = spark.createDataFrame([("a", "s", 3, None, None), ("b", "s", None, [1, 2], "multi")], schema)
+    assert [tuple(r) for r in E.normalised_cases(cases).collect()] == [("a", "s", "single", [3]), ("b", "s", "multi", [1, 2])]
+    ranks = spark.createDataFrame([(1, 2), (2, None), (3, 1)], "case_id long, rank int")
+    kinds = spark.createDataFrame([(1, "tag"), (2, "tag"), (3, None), (4, "multi")], "case_id long, kind string")
+    assert sorted(map(tuple, E.kind_hits(ranks, kinds).collect())) == [("multi", 1, 0), ("single", 1, 1), ("tag", 2, 1)]
