@@ -37,9 +37,13 @@ class WordIndex:
 def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "chunk_id", segmenter=None) -> DataFrame:
     """(chunk_id, dl, term, tf): how often each term stands in each chunk of ``dl`` tokens.
 
-    A chunk is tokenised once and counted where it is read, so what is shuffled has one row for each of its terms.
+    Texts are dealt by chunk, then tokenised and counted there: what is shuffled is the text, once, and all
+    postings of a chunk stay together, so a search adds up a chunk's score before it moves anything.
     """
-    words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col), segmenter).alias("words"))
+    session = chunks.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    dealt = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).repartition(tasks, "chunk_id")
+    words = dealt.select("chunk_id", tokens(F.col("text"), segmenter).alias("words"))
     each = words.select("chunk_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
     return each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -15,14 +15,14 @@ from ..operators import store as S
 from ..sources import transcripts as TR
 from ..sources.shared import fresh_path
 from .retrieval_queries import CHUNKS
-from .tables import chunks, table, values
+from .tables import chunks, documents, table, values
 
 NL = "chr(10)"
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
     """(source, page, text, image_path): every document as a page."""
-    own = table(s, d, "documents")
+    own = documents(s, d)
     page = F.col("doc_id").cast("int")
     return own.select("source", page.alias("page"), F.coalesce("text", F.lit("")).alias("text"), T.image_name(F.col("source"), page).alias("image_path"))
 
@@ -37,7 +37,7 @@ def degenerate_pages(s: SparkSession, d: str) -> DataFrame:
 
 def damaged_contexts(s: SparkSession, d: str) -> DataFrame:
     """Texts judged as if they were contexts."""
-    own = table(s, d, "documents").select("doc_id", F.col("text").alias("context"))
+    own = documents(s, d).select("doc_id", F.col("text").alias("context"))
     return own.select("doc_id", T.is_damaged(F.col("context")).alias("damaged"))
 
 
@@ -52,7 +52,7 @@ def longest_attempt(s: SparkSession, d: str) -> DataFrame:
 
 
 def char_split(s: SparkSession, d: str) -> DataFrame:
-    own = table(s, d, "documents").select("doc_id", F.posexplode(T.char_pieces(F.coalesce("text", F.lit("")))).alias("piece", "text"))
+    own = documents(s, d).select("doc_id", F.posexplode(T.char_pieces(F.coalesce("text", F.lit("")))).alias("piece", "text"))
     return own.select("doc_id", F.col("piece").cast("long").alias("piece"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"))
 
 
@@ -171,7 +171,7 @@ def transcript_sources(s: SparkSession, d: str) -> DataFrame:
 
 
 def diagram_titles(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", T.first_line_title(F.coalesce("text", F.lit(""))).alias("title"))
+    return documents(s, d).select("doc_id", T.first_line_title(F.coalesce("text", F.lit(""))).alias("title"))
 
 
 def image_names(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def ndjson_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def squashed(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.sha2(T.squash(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+    return documents(s, d).select("doc_id", F.sha2(T.squash(F.coalesce("text", F.lit(""))), 256).alias("sha"))
 
 
 def evidence_verify(s: SparkSession, d: str) -> DataFrame:
@@ -220,7 +220,7 @@ def blocks_to_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_batches(s: SparkSession, d: str) -> DataFrame:
-    return L.page_batches(table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_pages")))
+    return L.page_batches(documents(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_pages")))
 
 
 REASONS = "('bad', 9, 'whatever text', 'length'), ('short', 1, 'fine', 'stop'), ('none', 1, 'fine', CAST(NULL AS STRING))"

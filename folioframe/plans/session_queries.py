@@ -13,7 +13,7 @@ from ..operators import index as I
 from ..operators import raster as R
 from ..operators import services as V
 from .retrieval_queries import BM25
-from .tables import chunks, queries, table, values
+from .tables import chunks, documents, queries, table, values
 
 
 def messages(s: SparkSession, d: str) -> DataFrame:
@@ -107,12 +107,12 @@ TAGS = """(1, 1, 1, 'GFV21'), (1, 1, 2, 'GFV21'), (1, 2, 1, 'GFV21'), (1, 2, 1,
 def readings(s: SparkSession, d: str) -> DataFrame:
     """Made-up readings, and the tags in every document, each third of a document's length being a run."""
     fixture = values(s, TAGS, "page, run, tile, tag").select(F.lit("fixture").alias("source"), F.col("page").cast("long").alias("page"), F.col("run").cast("long").alias("run"), "tile", "tag")
-    own = table(s, d, "documents").select("source", (F.col("doc_id") % 7).alias("page"), (F.col("doc_id") % 3).alias("run"), F.lit(1).alias("tile"), F.explode(T.tags_in(F.coalesce("text", F.lit("")))).alias("tag"))
+    own = documents(s, d).select("source", (F.col("doc_id") % 7).alias("page"), (F.col("doc_id") % 3).alias("run"), F.lit(1).alias("tile"), F.explode(T.tags_in(F.coalesce("text", F.lit("")))).alias("tag"))
     return fixture.unionByName(own)
 
 
 def tag_extraction(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.explode(T.tags_in(F.coalesce("text", F.lit("")))).alias("tag"))
+    return documents(s, d).select("doc_id", F.explode(T.tags_in(F.coalesce("text", F.lit("")))).alias("tag"))
 
 
 def tag_votes(s: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def session_summaries(s: SparkSession, d: str) -> DataFrame:
 
 def page_tags(s: SparkSession, d: str) -> DataFrame:
     """Documents as tiles that show their text: a page of each source and remainder, three runs."""
-    tiles = table(s, d, "documents").select(
+    tiles = documents(s, d).select(
         "source", (F.col("doc_id") % 7).cast("int").alias("page"), (F.col("doc_id") % 3).cast("int").alias("run"), F.lit(1).alias("tile"),
         F.coalesce("text", F.lit("")).cast("binary").alias("content"),
     )

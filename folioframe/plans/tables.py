@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores: a small table lies in fewer splits than there are, and its texts are what queries work on."""
+    own, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return own if own.rdd.getNumPartitions() >= cores else own.repartition(cores)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, chunk_seq, source, page, text): every document is a chunk; forty ids make a page of each source."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), "source", (F.floor(F.col("doc_id") / 40) + 1).cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")
     )
 
