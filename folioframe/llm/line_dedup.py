@@ -91,6 +91,7 @@ def variants(lines: DataFrame, spelled: bool = False) -> DataFrame:
     # Words before i keep their places, those behind it move up by one.
     shorter = F.zip_with("running", "here", lambda r, g: r.bitwiseXOR(g).bitwiseXOR(F.col("all_moved")))
     deleted = F.transform(shorter, lambda v: F.xxhash64(F.lit("shorter"), F.col("n") - 1, v))
+    deleted = deleted if spelled else F.array_distinct(deleted)  # what a key stands for needs its place
     own = F.array(F.xxhash64(F.lit("shorter"), F.col("n"), F.col("whole")))
 
     def without(i: Column) -> Column:
@@ -103,7 +104,7 @@ def variants(lines: DataFrame, spelled: bool = False) -> DataFrame:
 
     every = F.concat(
         keyed(replaced, "replaced", lambda i: F.concat(F.lit("replaced "), F.col("n").cast("string"), F.lit(" "), i.cast("string"), F.lit(" "), without(i))),
-        F.array_distinct(keyed(deleted, "deleted", lambda i: F.concat(F.lit("shorter "), without(i)))),
+        keyed(deleted, "deleted", lambda i: F.concat(F.lit("shorter "), without(i))),
         keyed(own, "whole", lambda _: F.concat(F.lit("shorter "), F.array_join("words", " "))),
     )
     return at.select(F.explode(every).alias("v"), "place", *HASH).select("v.*", "place", *HASH)
