@@ -33,6 +33,6 @@ def check(spark, folder, name, *tables):
     assert wanted and rows(df.columns, df.collect()) == wanted
 
 
-@pytest.mark.parametrize("name", ["tag_extraction", "tag_votes", "vote_totals", "normalize_tags"])
+@pytest.mark.parametrize("name", ["tag_extraction", "tag_votes", "vote_totals", "normalize_tags", "diagram_chunk_text"])
 def test_tags_of_odd_texts(spark, odd_dir, name):
     check(spark, odd_dir, name, "documents")
