@@ -114,13 +114,17 @@ def tile_readings(tiles: DataFrame, make: Callable[[], P.Viewer] = P.PrintedText
 def page_tags(readings: DataFrame, least: int = 2) -> DataFrame:
     """(source, page, stable, unstable): tags of each page in order, normalised within a run, by how many runs show them."""
     key = ["source", "page"]
+    readings = written(readings, "readings")  # the service reads each tile once
     cleaned = diagram.normalised_tags(readings.select(*key, "run", "tag"), [*key, "run"])
     runs = readings.select(*key, "run").distinct()
     votes = diagram.tag_votes(runs.join(cleaned, [*key, "run"], "left"), key, least)
-    return votes.groupBy(*key).agg(
+    found = votes.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(F.col("stable"), F.col("tag")))).alias("stable"),
         F.array_sort(F.collect_list(F.when(~F.col("stable"), F.col("tag")))).alias("unstable"),
     )
+    none = F.array().cast("array<string>")
+    own = readings.select(*key).distinct().join(found, key, "left")  # pages whose readings are no tags have neither
+    return own.select(*key, F.coalesce("stable", none).alias("stable"), F.coalesce("unstable", none).alias("unstable"))
 
 
 def gists(pages: DataFrame, make: Callable[[], P.Viewer] = P.PrintedText) -> DataFrame:

@@ -33,6 +33,12 @@ def check(spark, folder, name, *tables):
     assert wanted and rows(df.columns, df.collect()) == wanted
 
 
-@pytest.mark.parametrize("name", ["tag_extraction", "tag_votes", "vote_totals", "normalize_tags", "diagram_chunk_text"])
+@pytest.mark.parametrize("name", ["tag_extraction", "tag_votes", "vote_totals", "normalize_tags", "diagram_chunk_text", "page_tags"])
 def test_tags_of_odd_texts(spark, odd_dir, name):
     check(spark, odd_dir, name, "documents")
+
+
+def test_pages_whose_readings_are_no_tags(spark, tmp_path):
+    columns = {"doc_id": pa.array([1, 2, 3], pa.int64()), "source": ["s", "s", None], "text": ["dn100", "note7 p-101", "fig2"]}
+    pq.write_table(pa.table(columns), f"{tmp_path}/documents.parquet")
+    check(spark, str(tmp_path), "page_tags", "documents")
