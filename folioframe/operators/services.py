@@ -44,15 +44,21 @@ def contextualised(chunks: DataFrame, pages: DataFrame, make: Callable[[], P.Wri
     return own.withColumn("context", reply).withColumn("context", F.when(F.length(strip(F.col("context"))) > 0, strip(F.col("context")))).drop("page_text")
 
 
+def summary_replies(messages: DataFrame, summaries: DataFrame, make: Callable[[], P.Writer] = P.FirstSentence, turns: int = conversation.TURNS) -> DataFrame:
+    """(conv_id, reply, upto): what the service writes, as it is, to conversations of which something left the window since the last summary; null where it fails."""
+    due = conversation.summary_horizon(messages, summaries, turns).where("due").select("conv_id", F.col("kept_from").alias("upto"))
+    told = conversation.summary_transcripts(messages.join(due.select("conv_id"), "conv_id", "left_semi"), turns)
+    reply = P.answered([F.col("transcript")], lambda p, text: p.write(text), make, "string")
+    return told.join(due, "conv_id").select("conv_id", reply.alias("reply"), "upto")
+
+
 def summarised(messages: DataFrame, summaries: DataFrame, make: Callable[[], P.Writer] = P.FirstSentence, turns: int = conversation.TURNS) -> DataFrame:
     """(conv_id, summary, upto): new summaries of the conversations of which something left the window since the last one.
 
     Conversations whose summary fails or comes out empty keep the one they have, and aren't in the result.
     """
-    due = conversation.summary_horizon(messages, summaries, turns).where("due").select("conv_id", F.col("kept_from").alias("upto"))
-    told = conversation.summary_transcripts(messages.join(due.select("conv_id"), "conv_id", "left_semi"), turns)
-    reply = strip(P.answered([F.col("transcript")], lambda p, text: p.write(text), make, "string"))
-    return told.join(due, "conv_id").select("conv_id", reply.alias("summary"), "upto").where(F.length("summary") > 0)
+    replies = summary_replies(messages, summaries, make, turns)
+    return replies.select("conv_id", strip(F.col("reply")).alias("summary"), "upto").where(F.length("summary") > 0)
 
 
 def unit_or_null(vector: Column) -> Column:

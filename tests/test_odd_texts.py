@@ -42,3 +42,12 @@ def test_pages_whose_readings_are_no_tags(spark, tmp_path):
     columns = {"doc_id": pa.array([1, 2, 3], pa.int64()), "source": ["s", "s", None], "text": ["dn100", "note7 p-101", "fig2"]}
     pq.write_table(pa.table(columns), f"{tmp_path}/documents.parquet")
     check(spark, str(tmp_path), "page_tags", "documents")
+
+
+def test_summaries_of_odd_texts(spark, tmp_path):
+    ends = ["x" * 116 + "\n tail", "x" * 115 + " \nab", "x" * 116 + "\ttail", "x" * 116 + " tail", "x" * 116 + "\xa0 tail", "a\n\n\nb", "a\n\n", "a\n\n　b \n", "", "\n\n\n"]
+    made = [(c, t, ("user", "assistant")[t % 2], end if t == 1 else f"before\n{end}\n" if t == 0 else "m") for c, end in enumerate(ends, 10) for t in range(8)]
+    ids, turns, roles, texts = zip(*made, strict=True)
+    columns = {"conv_id": pa.array(ids, pa.int64()), "turn": pa.array(turns, pa.int64()), "role": roles, "text": texts}
+    pq.write_table(pa.table(columns), f"{tmp_path}/conversations.parquet")
+    check(spark, str(tmp_path), "session_summaries", "conversations")
