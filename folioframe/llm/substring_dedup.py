@@ -32,12 +32,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_partitions, text_or_empty, written
+from .common import ROWS_AT_ONCE, give_back_memory, scan_partitions, text_or_empty, written
 from .exact_dedup import BUCKET_BITS, bitmap_bits, collision_bitmap, mark_collisions
 
 GRAM = 200
@@ -48,6 +49,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 STRETCH = 1 << 18
 #: Contexts that are sorted together; what has more is split, into this many ranges of places at once.
 MOST_CONTEXTS, SPLIT = 4096, 4
+#: Bytes of contexts whose parts are sorted in one go; a part stays whole.
+BYTES_AT_ONCE = 1 << 22
 #: How much larger the bitmaps are than those for keys of all rows; the keys here are few of many.
 KEY_SHARE = 8
 WORD = np.uint64
@@ -60,25 +63,37 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_powers = {base: powers(base, 2 * STRETCH) for base in (BASE, INVERSE)}
+#: Powers of a base up to TABLE, and of base ** TABLE: products of two are all that a buffer of 2 GB needs.
+TABLE = 2 * STRETCH
+_powers = {base: powers(base, TABLE) for base in (BASE, INVERSE)}
+_steps = {base: powers(pow(base, TABLE, 1 << 64), (1 << 31) // TABLE) for base in (BASE, INVERSE)}
+
+
+def power_at(base: int, n: np.ndarray) -> np.ndarray:
+    return _powers[base][n % TABLE] * _steps[base][n // TABLE]
 
 
 def power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        _powers[base] = powers(base, max(n, 2 * len(_powers[base])))
-    return _powers[base][:n]
+    return _powers[base][:n] if n <= TABLE else power_at(base, np.arange(n))
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """H[i]: the sum of (byte + 1) * BASE ** place over the first i bytes, modulo 2 ** 64."""
     out = np.zeros(len(data) + 1, WORD)
-    np.cumsum((data.astype(WORD) + WORD(1)) * power(BASE, len(data)), out=out[1:])
+    for at in range(0, len(data), TABLE):
+        part = data[at : at + TABLE].astype(WORD)
+        part += WORD(1)
+        part *= _powers[BASE][: len(part)]
+        part *= _steps[BASE][at // TABLE]
+        own = out[at + 1 : at + 1 + len(part)]
+        np.cumsum(part, out=own)
+        own += out[at]
     return out
 
 
 def piece_hashes(prefix: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     """Hashes of pieces, the same wherever a piece stands."""
-    return (prefix[start + size] - prefix[start]) * power(INVERSE, len(prefix))[start]
+    return (prefix[start + size] - prefix[start]) * power_at(INVERSE, start)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -137,6 +152,11 @@ def stretches(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarr
         yield out()
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS_AT_ONCE`` rows, as their texts become Python values."""
+    return (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE))
+
+
 def sent_bitmap(keys: DataFrame, key: str, filter_bits: int) -> Broadcast:
     """A bitmap of ``filter_bits`` of the values of ``key``, for numpy on the tasks."""
     bits = np.zeros(-(-filter_bits // BUCKET_BITS) * BUCKET_BITS // 8, np.uint8)
@@ -156,10 +176,11 @@ def anchor_grams(docs: DataFrame, length: int) -> DataFrame:
     """(gram) of every anchor of ``docs`` (id, digest, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             for data, ends, _, _ in stretches(batch.column(0).to_pylist(), length):
                 gram = anchors(np.frombuffer(data, np.uint8), ends, length)[3]
                 yield pa.RecordBatch.from_arrays([pa.array(gram)], ["gram"])
+        give_back_memory()
 
     return docs.select("text").mapInArrow(run, "gram long")
 
@@ -175,7 +196,7 @@ def anchor_contexts(docs: DataFrame, length: int, wanted: Broadcast, filter_bits
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             for data, ends, which, offsets in stretches(batch.column(2).to_pylist(), length):
                 first, last, place, gram = anchors(np.frombuffer(data, np.uint8), ends, length)
                 keep = np.flatnonzero(wanted.value[(slot := gram % filter_bits) >> 3] >> (slot & 7) & 1)
@@ -187,6 +208,7 @@ def anchor_contexts(docs: DataFrame, length: int, wanted: Broadcast, filter_bits
                 ids, rows = (pa.array(batch.column(k)).take(doc) for k in (0, 1))
                 columns = [ids, rows, *map(pa.array, (gram, begin, place - first, last - first + 1, c1, c2))]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back_memory()
 
     return docs.select("id", "digest", "text").mapInArrow(run, schema)
 
@@ -213,6 +235,7 @@ def context_bytes(docs: DataFrame, chosen: DataFrame, length: int, filter_bits:
                 pieces = [text[a : a + n - 1 + length] for a, n in zip(first.to_pylist(), strings.to_pylist(), strict=True)]
                 ranges = [pa.array(np.full(len(pieces), x, np.int64)) for x in (0, length - GRAM)]
                 yield pa.RecordBatch.from_arrays([gram, *ranges, c1, c2, at, strings, pa.array(pieces, pa.binary())], names)
+        give_back_memory()
 
     joined = able.join(by_row, F.struct("id", "digest").eqNullSafe(F.col("of"))).select("text", "held")
     return written(joined.mapInArrow(run, schema), "contexts")
@@ -339,10 +362,22 @@ def sorted_strings(contexts: DataFrame, length: int) -> DataFrame:
             part = table.column("part").to_numpy()
             cut = int(np.searchsorted(part, part[-1])) if len(part) else 0
             held = table.slice(cut).to_batches()  # the last part may go on
-            if cut:
-                yield from found(table.slice(0, cut))
+            yield from in_pieces(table.slice(0, cut))
         if held:
-            yield from found(pa.Table.from_batches(held))
+            yield from in_pieces(pa.Table.from_batches(held).combine_chunks())
+        give_back_memory()
+
+    def in_pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole parts, as many at once as have ``BYTES_AT_ONCE``; a larger one alone."""
+        part = table.column("part").to_numpy()
+        ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1 if len(part) else np.zeros(0, np.int64)
+        total = np.cumsum(pc.binary_length(table.column("context")).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(part):
+            most = np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")
+            end = int(ends[max(np.searchsorted(ends, most, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+            yield from found(table.slice(at, end - at))
+            at = end
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         same = [table.column(c).to_numpy() for c in ("part", "c1", "c2")]
@@ -360,7 +395,7 @@ def split_parts(contexts: DataFrame, length: int) -> DataFrame:
     """The contexts in parts for narrower ranges of places, each told by the bytes that strings from these places share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows, parts, lows, highs = [], [], [], []
             columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lo", "hi", "at", "strings", "context"))
             for row, (lo, hi, at, strings, context) in enumerate(zip(*columns, strict=True)):
@@ -377,6 +412,7 @@ def split_parts(contexts: DataFrame, length: int) -> DataFrame:
             others = [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows, pa.int64())) for c in ("c1", "c2", "at", "strings", "context")]
             ranges = [pa.array(x, pa.int64()) for x in (parts, lows, highs)]
             yield pa.RecordBatch.from_arrays([*ranges, *others], ["part", "lo", "hi", "c1", "c2", "at", "strings", "context"])
+        give_back_memory()
 
     return contexts.select("part", "lo", "hi", "c1", "c2", "at", "strings", "context").mapInArrow(run, contexts.schema)
 
@@ -465,7 +501,7 @@ def remove_repeats(
     cut = marked.where("hit").join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             made: list[list] = [[], [], [], [], []]
             for data, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 runs = merged_spans([(s["start"], s["end"]) for s in own or []])
@@ -481,6 +517,7 @@ def remove_repeats(
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), kind]
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(made, types, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        give_back_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     removed = cut.select("id", "text", "spans").mapInArrow(run, f"id {kind}, {result}")
