@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, text_or_empty, written
+from .common import free_name, text_or_empty, written
 from .exact_dedup import bitmap_bits, collision_bitmap, mark_collisions
 
 #: Distances of the doubling steps that make prefix sums of an array.
@@ -34,6 +34,8 @@ DOUBLINGS = [1 << i for i in range(30)]
 KEY_BITS = 64
 #: The two halves of a line's hash.
 HASH = ["h", "g"]
+#: White space within a line; with the space and the line's end, all that parts words.
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def row_digest(text_col: str) -> Column:
@@ -42,11 +44,13 @@ def row_digest(text_col: str) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, line, words, h, g): every line, counted from 0, with its words and their hash."""
-    lines = docs.select(
-        F.col(f"`{id_col}`").alias("id"), row_digest(text_col).alias("digest"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "text")
-    )
-    worded = lines.select("id", "digest", "line", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    """(id, digest, line, words, h, g): every line, counted from 0, with its words and their hash.
+
+    Words are cut at single spaces, which takes no pattern; other white space is made a space before.
+    """
+    spaced = F.regexp_replace(text_or_empty(text_col), OTHER_SPACE, " ")
+    lines = docs.select(F.col(f"`{id_col}`").alias("id"), row_digest(text_col).alias("digest"), F.posexplode(F.split(spaced, "\n")).alias("line", "text"))
+    worded = lines.select("id", "digest", "line", F.array_remove(F.split("text", " "), "").alias("words"))
     return worded.withColumn("h", F.xxhash64("words")).withColumn("g", F.xxhash64(F.lit("second"), "words"))
 
 
@@ -77,37 +81,52 @@ def prefix_xor(values: Column) -> Column:
     )
 
 
-def variants(lines: DataFrame, spelled: bool = False) -> DataFrame:
-    """(key, role, place, h, g): the deletion neighbourhood of distinct lines (place, h, g, words).
+def with_variants(lines: DataFrame, spelled: bool = False) -> DataFrame:
+    """Distinct lines (place, h, g, words) with the keys of their deletion neighbourhood, an array for each role: ``replaced``, ``deleted`` and ``whole``.
 
-    With ``spelled`` also ``variant``, what the key stands for.
+    With ``spelled`` the keys of ``deleted`` are one for each word, else each once.
     """
     at = lines.withColumn("here", F.transform("words", lambda w, i: F.xxhash64(i, w)))
     at = at.withColumn("moved", F.transform("words", lambda w, i: F.xxhash64(i - 1, w)))
     at = at.withColumn("whole", xor_all(F.col("here"))).withColumn("all_moved", xor_all(F.col("moved")))
     both = F.zip_with("here", "moved", lambda a, b: a.bitwiseXOR(b))
     at = at.withColumn("running", prefix_xor(both)).withColumn("n", F.size("words"))
-    replaced = F.transform("here", lambda g, i: F.xxhash64(F.lit("replaced"), F.col("n"), i, F.col("whole").bitwiseXOR(g)))
+    replaced = F.transform("here", lambda g, i: cut(F.xxhash64(F.lit("replaced"), F.col("n"), i, F.col("whole").bitwiseXOR(g))))
     # Words before i keep their places, those behind it move up by one.
     shorter = F.zip_with("running", "here", lambda r, g: r.bitwiseXOR(g).bitwiseXOR(F.col("all_moved")))
-    deleted = F.transform(shorter, lambda v: F.xxhash64(F.lit("shorter"), F.col("n") - 1, v))
-    deleted = deleted if spelled else F.array_distinct(deleted)  # what a key stands for needs its place
-    own = F.array(F.xxhash64(F.lit("shorter"), F.col("n"), F.col("whole")))
+    deleted = F.transform(shorter, lambda v: cut(F.xxhash64(F.lit("shorter"), F.col("n") - 1, v)))
+    own = F.array(cut(F.xxhash64(F.lit("shorter"), F.col("n"), F.col("whole"))))
+    keys = [replaced.alias("replaced"), (deleted if spelled else F.array_distinct(deleted)).alias("deleted"), own.alias("whole")]
+    return at.select(*lines.columns, *keys)
+
+
+def cut(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << KEY_BITS) - 1 if KEY_BITS < 64 else -1).cast("long"))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """(key, role, place, h, g): a row for each key of lines ``with_variants``."""
+    ends = F.size("replaced"), F.size("replaced") + F.size("deleted")
+    role = F.when(F.col("i") < F.col("a"), "replaced").when(F.col("i") < F.col("b"), "deleted").otherwise("whole")
+    each = lines.select("place", *HASH, ends[0].alias("a"), ends[1].alias("b"), F.posexplode(F.concat("replaced", "deleted", "whole")).alias("i", "key"))
+    return each.select("key", role.alias("role"), "place", *HASH)
+
+
+def spelled_variants(lines: DataFrame) -> DataFrame:
+    """``variants`` of distinct lines (place, h, g, words), with ``variant``: what the key stands for."""
 
     def without(i: Column) -> Column:
         return F.array_join(F.filter("words", lambda _, j: j != i), " ")
 
-    def keyed(keys: Column, role: str, text) -> Column:
-        cut = F.lit((1 << KEY_BITS) - 1 if KEY_BITS < 64 else -1).cast("long")
-        spelling = [lambda i: text(i).alias("variant")] if spelled else []
-        return F.transform(keys, lambda k, i: F.struct(k.bitwiseAND(cut).alias("key"), F.lit(role).alias("role"), *[f(i) for f in spelling]))
+    def keyed(role: str, text) -> Column:
+        return F.transform(role, lambda k, i: F.struct(k.alias("key"), F.lit(role).alias("role"), text(i).alias("variant")))
 
     every = F.concat(
-        keyed(replaced, "replaced", lambda i: F.concat(F.lit("replaced "), F.col("n").cast("string"), F.lit(" "), i.cast("string"), F.lit(" "), without(i))),
-        keyed(deleted, "deleted", lambda i: F.concat(F.lit("shorter "), without(i))),
-        keyed(own, "whole", lambda _: F.concat(F.lit("shorter "), F.array_join("words", " "))),
+        keyed("replaced", lambda i: F.concat(F.lit("replaced "), F.size("words").cast("string"), F.lit(" "), i.cast("string"), F.lit(" "), without(i))),
+        keyed("deleted", lambda i: F.concat(F.lit("shorter "), without(i))),
+        keyed("whole", lambda _: F.concat(F.lit("shorter "), F.array_join("words", " "))),
     )
-    return at.select(F.explode(every).alias("v"), "place", *HASH).select("v.*", "place", *HASH)
+    return with_variants(lines, spelled=True).select(F.explode(every).alias("v"), "place", *HASH).select("v.*", "place", *HASH)
 
 
 def earlier_lines(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -133,17 +152,19 @@ def within_one(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, filter_bits: int, least_words: int) -> DataFrame:
     """(h, g) of the distinct lines that have an earlier near line."""
     keys = lines.where(F.col("n") >= least_words).select(*HASH, F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct(*HASH)).alias("a"), F.max(F.struct(*HASH)).alias("b")).where("a <> b").select("key")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in HASH for f in (F.min, F.max)]  # of plain numbers, which need no sorting
+    shared = keys.groupBy("key").agg(*ends).where("min_h <> max_h OR min_g <> max_g").select("key")
     halves = written(collision_bitmap(shared, "key", filter_bits), "line-halves")
     candidates = written(
         mark_collisions(keys, "key", halves, filter_bits, "hit").where("hit").groupBy("h").agg(F.count(F.lit(1)).alias("c")), "line-candidates"
     )
     chosen = written(collision_bitmap(candidates, "h", filter_bits), "line-bitmap")
-    again = line_rows(docs, id_col, text_col).where(F.size("words") >= least_words)
-    again = mark_collisions(again, "h", chosen, filter_bits, "hit").where("hit")
+    # Shorter lines that hit by chance go after the grouping: before it, their filter would cut every line into words once more.
+    again = mark_collisions(line_rows(docs, id_col, text_col), "h", chosen, filter_bits, "hit").where("hit")
     distinct = again.groupBy(*HASH).agg(F.min(F.struct("id", "digest", "line")).alias("place"), F.any_value("words").alias("words"))
-    distinct = written(distinct.select(*HASH, "place", "words"), "line-texts")
-    counted = variants(distinct).groupBy("key").count().where("count > 1").select("key")
+    distinct = written(with_variants(distinct.select(*HASH, "place", "words").where(F.size("words") >= least_words)), "line-texts")
+    keyed = distinct.select(F.explode(F.concat("replaced", "deleted", "whole")).alias("key"))
+    counted = keyed.groupBy("key").count().where("count > 1").select("key")
     met = written(collision_bitmap(counted, "key", filter_bits), "line-variants")
     rows = written(mark_collisions(variants(distinct), "key", met, filter_bits, "hit").where("hit").drop("hit"), "line-keys")
     found = earlier_lines(rows, ["key"])
@@ -156,8 +177,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, fi
     if false_keys.isEmpty():
         return written(near.distinct(), "near-lines")
     # A chance meeting may hide a true one behind it: in these keys, lines meet by the variants themselves.
-    involved = distinct.join(rows.join(false_keys, "key", "left_semi").select(*HASH).distinct(), HASH)
-    spelled = variants(involved, spelled=True).join(false_keys, "key", "left_semi")
+    involved = distinct.select(*HASH, "place", "words").join(rows.join(false_keys, "key", "left_semi").select(*HASH).distinct(), HASH)
+    spelled = spelled_variants(involved).join(false_keys, "key", "left_semi")
     return written(near.unionByName(earlier_lines(spelled, ["variant"]).select(*HASH)).distinct(), "near-lines")
 
 

@@ -63,6 +63,16 @@ def test_lines_odd_rows(spark):
     assert sorted(r.n_lines for r in line_dedup.dedup_lines(df).collect()) == [1, 1, 1, 1, 1, 2]
 
 
+def test_words_of_lines(spark):
+    spaces = [chr(c) for c in (0x20, *range(0x09, 0x0E), 0x00, 0x1C, 0x85, 0xA0, 0x2028, 0x3000)]
+    text = "".join(f"{x}{x}a{x}é{y}𝄞{y}{x}" for x in spaces for y in spaces)
+    df = line_dedup.line_rows(docs(spark, [(1, text), (2, None), (3, "\t \r\n")]), "doc_id", "text")
+    found = [(r.id, r.line, r.words) for r in df.orderBy("id", "line").collect()]
+    assert found == [(i, k, words_of(x)) for i, t in ((1, text), (2, ""), (3, "\t \r\n")) for k, x in enumerate(t.split("\n"))]
+    # Words are cut at plain characters, which takes no match object for each.
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lines_that_meet_by_chance(spark, monkeypatch):
     r = random.Random(5)
     base = [[r.choice("abcdefgh") for _ in range(r.randint(8, 14))] for _ in range(40)]
