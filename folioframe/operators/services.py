@@ -121,9 +121,7 @@ def page_tags(readings: DataFrame, least: int = 2) -> DataFrame:
     """(source, page, stable, unstable): tags of each page in order, normalised within a run, by how many runs show them."""
     key = ["source", "page"]
     readings = written(readings, "readings")  # the service reads each tile once
-    cleaned = diagram.normalised_tags(readings.select(*key, "run", "tag"), [*key, "run"])
-    runs = readings.select(*key, "run").distinct()
-    votes = diagram.tag_votes(runs.join(cleaned, [*key, "run"], "left"), key, least)
+    votes = diagram.tag_votes(diagram.cleaned_runs(readings, key), key, least)
     found = votes.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(F.col("stable"), F.col("tag")))).alias("stable"),
         F.array_sort(F.collect_list(F.when(~F.col("stable"), F.col("tag")))).alias("unstable"),

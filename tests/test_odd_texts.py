@@ -38,6 +38,21 @@ def test_tags_of_odd_texts(spark, odd_dir, name):
     check(spark, odd_dir, name, "documents")
 
 
+def test_votes_of_normalised_tags_of_all_runs(spark, tmp_path):
+    """Tags are normalised within a run before they vote, runs without tags count, and so do pages without a source."""
+    texts = [(1, "s", "gva11-088.9x3.05 p-10 p-101 note2"), (8, "s", "gva11-ø88.9x3.05 p-10"), (15, "s", None), (3, "s", "x1 dn100"), (10, "s", "no tag"), (17, "s", "")]
+    texts += [(2, None, "x1"), (9, None, "none"), (4, None, "x1 x12"), (11, None, "x12"), (5, "", "y1"), (5, None, "y1"), (12, None, "")]
+    ids, sources, words = zip(*texts, strict=True)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "source": sources, "text": words}), f"{tmp_path}/documents.parquet")
+    check(spark, str(tmp_path), "tag_votes", "documents")
+    found = registry.QUERIES["tag_votes"](spark, str(tmp_path)).where("source IS NULL OR source <> 'fixture'").collect()
+    assert {(r.source, r.page, r.tag, r.votes, r.stable) for r in found} == {
+        ("s", 1, "GVA11-Ø88.9X3.05", 2, True), ("s", 1, "P-101", 1, False), ("s", 1, "P-10", 1, False), ("s", 3, "X1", 1, False),
+        (None, 2, "X1", 1, False), (None, 4, "X12", 2, True), ("", 5, "Y1", 1, True), (None, 5, "Y1", 1, False),
+    }
+    assert len(found) == 8
+
+
 def test_pages_whose_readings_are_no_tags(spark, tmp_path):
     columns = {"doc_id": pa.array([1, 2, 3], pa.int64()), "source": ["s", "s", None], "text": ["dn100", "note7 p-101", "fig2"]}
     pq.write_table(pa.table(columns), f"{tmp_path}/documents.parquet")
